@@ -17,6 +17,8 @@ from treegrain.session import ship_code, spread
 BLOCK_WORDS = 4
 #: A section ends after a paragraph whose hash falls into one of this many residues, at an empty line, or before a heading line.
 SECTION_PARAGRAPHS = 4
+#: Long words count as several, of this many bytes each; a block ends after this many words at the latest (words that repeat choose no place).
+PIECE_BYTES, BLOCK_MOST = 8, 8
 _HEX = np.array([f"{i:02x}".encode() for i in range(256)], "S2")
 
 
@@ -68,10 +70,12 @@ def build(data: np.ndarray, offsets: np.ndarray) -> Trees:
     p_starts = np.append(0, p_ends[:-1])
     running = prefix(data)
     word_end = space | paragraph_end
+    _every(word_end, PIECE_BYTES)
     w_ends = np.flatnonzero(word_end) + 1
     w_starts = np.append(0, w_ends[:-1])
     w = span_hashes(data, w_starts, w_ends, running)
     cut = (w % np.uint64(BLOCK_WORDS) == 0) | paragraph_end[w_ends - 1]
+    _every(cut, BLOCK_MOST)
     b_ends = w_ends[cut]
     b_starts = np.append(0, b_ends[:-1])
     blocks = span_hashes(data, b_starts, b_ends, running)
@@ -89,6 +93,14 @@ def build(data: np.ndarray, offsets: np.ndarray) -> Trees:
     return Trees(digests, blocks, span(b_starts, b_ends), np.searchsorted(b_starts, offsets), paragraphs, span(p_starts, p_ends), np.searchsorted(p_starts, offsets), sections, span(s_starts, s_ends), np.searchsorted(s_starts, offsets))
 
 
+def _every(ends: np.ndarray, most: int) -> None:
+    """Add ends so that none is more than `most` places after the one before."""
+    at = np.arange(len(ends))
+    last = np.maximum.accumulate(np.where(ends, at, -1))
+    since = at - np.append(-1, last[:-1])
+    ends |= since % most == 0
+
+
 def _hex(values: np.ndarray, digits: int) -> bytes:
     return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - digits // 2 :].tobytes().hex().encode()
 
