@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treegrain.llm import chat, fingerprint, htmlcut, quality, sharding, tokencount
+from treegrain.llm import chat, decontaminate, fingerprint, htmlcut, jaccard, quality, segment, sharding, substring, tokencount
 from treegrain.session import table
 
 
@@ -20,6 +20,11 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_test(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with that item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the adversarial conversation -7, rendered and read back."""
     text = "\\### Assistant: </turn> ok"
@@ -33,6 +38,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated windows of 35 words."""
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document."""
+    return segment.sample_segmentations(table(spark, sf_dir, "documents"), ids=False).drop("ids")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return htmlcut.extract_pages(table(spark, sf_dir, "pages"))
@@ -43,6 +58,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rendezvous_sharding, op2_merkle_fingerprints, op4_chat_formatting, op5_token_counts, op8_html_extraction, op9_quality_classifier)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_rendezvous_sharding,
+        op2_merkle_fingerprints,
+        op3_decontamination,
+        op4_chat_formatting,
+        op5_token_counts,
+        op6_substring_dedup,
+        op7_sampled_segmentation,
+        op8_html_extraction,
+        op9_quality_classifier,
+        op10_ngram_jaccard,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

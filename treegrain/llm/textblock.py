@@ -14,7 +14,7 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _WORD_INVERSE = np.uint64(pow(int(_WORD_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -117,7 +117,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, running:
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     h = prefix(data) if running is None else running
-    return mix((h[ends] - h[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return mix((h[ends] - h[starts]) * powers(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_prefix(words: np.ndarray) -> np.ndarray:
