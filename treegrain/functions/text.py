@@ -21,7 +21,7 @@ def tokenize(text: Column) -> Column:
 def slug(title: Column, *, fold_accents: bool = False, limit: int = 32) -> Column:
     """Lower case, runs of other characters become one hyphen, at most `limit` characters, `section` if nothing is left."""
     t = F.translate(title, _ACCENTED, _PLAIN) if fold_accents else title
-    t = F.trim(F.lit("-"), F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"))
+    t = F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"), F.lit("-"))
     t = F.substring(t, 1, limit)
     return F.rtrim(F.when(t == "", "section").otherwise(t), F.lit("-"))
 
@@ -75,7 +75,7 @@ def module_name(relative_path: Column) -> Column:
 def charset(content_type: Column) -> Column:
     """Charset of a Content-Type header, UTF-8 if it names none."""
     c = F.trim(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=([^;]+)", 1))
-    return F.when(c == "", "utf-8").otherwise(F.lower(F.trim(F.lit("\"'"), c)))
+    return F.when(c == "", "utf-8").otherwise(F.lower(F.trim(c, F.lit("\"'"))))
 
 
 def main_index(user: Column) -> Column:

@@ -55,7 +55,7 @@ def hybrid_query(corpus: DataFrame, queries: DataFrame, k: int = 10, *, use_hybr
     n = queries.count()
     most = max(4 * k, 20)
     semantic = dense.nearest_batch(corpus.where(F.col(vector).isNotNull()), queries, semantic_candidates or most, vector=vector)
-    lexical = bm25.search(corpus.select("id", "text"), queries.select("query_id", "text"), bm25_candidates or most, k1=bm25_k1, b=bm25_b, key="id").withColumnRenamed("doc_id", "id")
+    lexical = bm25.search(corpus.where("text is not null").select("id", "text"), queries.select("query_id", "text"), bm25_candidates or most, k1=bm25_k1, b=bm25_b, key="id").withColumnRenamed("doc_id", "id")
     fused = fusion.fuse([semantic, lexical], k, rrf_k=rrf_k)
     rows = _expanded(fused, corpus, k, n, options, expand_subtree)
     return rows.join(fused.select("query_id", "id", "rrf"), ["query_id", "id"], "left").select("query_id", "out_pos", "id", "rrf", "relation", "seed_path")

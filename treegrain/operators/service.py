@@ -38,7 +38,7 @@ def within_quota(requests: DataFrame, limit: int, *, user: str = "user_id", ts:
 
 def expires_at(created: Column, ttl_seconds: Column) -> Column:
     """When an index put at `created` ends; null for a time to live of 0."""
-    return F.when(ttl_seconds > 0, F.timestamp_seconds(F.unix_micros(created) / 1e6 + ttl_seconds))
+    return F.when(ttl_seconds > 0, F.timestamp_micros(F.unix_micros(created.cast("timestamp")) + ttl_seconds * 1_000_000))
 
 
 def live(indexes: DataFrame, now: Column) -> DataFrame:

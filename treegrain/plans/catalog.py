@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from treegrain.plans import accounts, corpus, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **corpus.QUERIES, **accounts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **corpus.ORACLE_SQL, **accounts.ORACLE_SQL}

@@ -27,7 +27,7 @@ def term_statistics(stream: DataFrame, *, key: str = "doc_id", text: str = "text
 
 def daily_counts(stream: DataFrame, *, user: str = "user_id", ts: str = "ts", late: str = "1 day") -> DataFrame:
     """(user_id, day, n) of a stream of requests by UTC day; what comes later than the watermark is dropped, and closed days leave the state."""
-    windowed = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), F.col(user).alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+    windowed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, "1 day"), F.col(user).alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
     return windowed.select("user_id", F.to_date("window.start").alias("day"), "n")
 
 
