@@ -53,6 +53,17 @@ def spill_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a Python stage at least as many partitions as there are cores; large inputs already have them and aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
