@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treegrain.llm import decontaminate, jaccard, quality, segment, substring
-from treegrain.session import spill_table, table
+from treegrain.session import fresh_names, spill_table, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It is trained on the whole documents table's labelled rows, as the operator's query is."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score_column(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = fresh_names(docs, "__score")
+    return quality.score_column(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

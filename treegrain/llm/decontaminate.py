@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.textblock import Words, raw, slices, span_hashes
-from treegrain.session import ship_code, spread
+from treegrain.session import fresh_names, ship_code, spread
 
 K1, B = 1.2, 0.75
 #: An item is retrieved if a passage has this share of the BM25 score that the item's own text would have.
@@ -257,8 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, retrieve: float = RET
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a test item; all columns are kept, every other row stays. See contaminated()."""
-    spark = docs.sparkSession
-    hits = contaminated(docs, benchmark, **options).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__did"), F.col("th").alias("__th")).distinct()
-    del spark
-    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return own.join(hits, ["__did", "__th"], "left_anti").drop("__did", "__th")
+    did, th = fresh_names(docs, "__did", "__th")
+    hits = contaminated(docs, benchmark, **options).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(did), F.col("th").alias(th)).distinct()
+    own = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return own.join(hits, [did, th], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -56,7 +56,7 @@ def _cue(tag: str, attrs: str) -> int:
 
 @dataclass
 class Node:
-    """An open element: its tag, its cue, its ancestors' numbers, and whether it holds the page's article, main part or first heading."""
+    """An open element: its tag, its cue, its ancestors' numbers, and whether it is or holds the page's centre."""
 
     tag: str
     cue: int
@@ -77,6 +77,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order: runs of text between block-level tags, character references decoded, white space made one space."""
     root = Node("", 0, 0, None)
+    centre: dict[str, Node] = {}
     node, count, links = root, 1, 0
     out: list[Block] = []
     parts: list[str] = []
@@ -142,11 +143,8 @@ def blocks_of(page: str) -> list[Block]:
             node = Node(tag, cue, count, node)
             count += 1
             links += tag == "a"
-            if tag in ("article", "main", "h1") and cue >= 0:
-                x = node if tag != "h1" else node.parent
-                while x is not None and not x.holds:
-                    x.holds = True
-                    x = x.parent
+            if tag in ("article", "main", "h1") and tag not in centre and cue >= 0 and (tag != "article" or _clear(node.parent)):
+                centre[tag] = node
         else:
             if tag not in INLINE:
                 flush()
@@ -157,9 +155,23 @@ def blocks_of(page: str) -> list[Block]:
                 node = x.parent
                 links = _open_links(node) if tag != "a" or links else 0
     flush()
+    # The page's centre is its main part, else its first article that isn't part of something else, else its first heading.
+    x = next((centre[t] for t in ("main", "article", "h1") if t in centre), None)
+    while x is not None:
+        x.holds = True
+        x = x.parent
     return out
 
 
+def _clear(node: Node | None) -> bool:
+    """Whether nothing around is named like boilerplate (forms aside, which may be wrapped around whole pages)."""
+    while node is not None:
+        if node.cue < 0 and node.tag != "form":
+            return False
+        node = node.parent
+    return True
+
+
 def _open_links(node: Node | None) -> int:
     n = 0
     while node is not None:
@@ -171,8 +183,8 @@ def _open_links(node: Node | None) -> int:
 def costs(block: Block) -> tuple[int, int]:
     """(capacity from the content terminal, capacity to the boilerplate terminal).
 
-    Any element around the block that is named like boilerplate makes it such, unless that element also holds the page's article,
-    main part or first heading (a form or banner around the whole page); else an element named like content makes it content. Without such cues, link
+    Any element around the block that is named like boilerplate makes it such, unless that element also holds the page's centre
+    (a form or banner around the whole page); else an element named like content makes it content. Without such cues, link
     density, length, sentence ends and headings weigh in lightly, and the smoothness edges decide along with them.
     """
     x, good, path = block.node, False, []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.graph import connected_components
 from treegrain.llm.textblock import Words, mix, ngram_hashes, raw, signed, slices
-from treegrain.session import ship_code, spill_table, spread
+from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 NGRAM = 3
 THRESHOLD = 0.7
@@ -309,10 +309,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows keep all their columns. See near_duplicates() for nulls, empty texts and empty tables.
     """
     found = near_duplicates(docs, **options)
-    chosen = found.groupBy("class_did").agg(F.min(F.struct("did", "th")).alias("row")).select("row.did", "row.th")
-    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = own.join(chosen.select(F.col("did").alias("__did"), F.col("th").alias("__th")), ["__did", "__th"], "left_semi")
+    did, th = fresh_names(docs, "__did", "__th")
+    chosen = found.groupBy("class_did").agg(F.min(F.struct("did", "th")).alias("row")).select(F.col("row.did").alias(did), F.col("row.th").alias(th))
+    own = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = own.join(chosen, [did, th], "left_semi")
     # Only equal rows can be left; they are looked for among keys before any text is moved for their sake.
     if found.groupBy("did", "th").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__did", "__th"])
-    return kept.drop("__did", "__th")
+        kept = kept.dropDuplicates([did, th])
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.fmindex import FMIndex
 from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, word_prefix
-from treegrain.session import ship_code, spill_table, spread
+from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 WINDOW = 35
 #: Words of the n-grams among which each window's smallest hash, its key, is found.
@@ -246,32 +246,27 @@ def cut_documents(docs: DataFrame, **options) -> DataFrame:
     Columns stay as they are, but n_chars, if there, becomes the length of the new text. See remove_repeats() for nulls, empty texts and repeats.
     """
     spans = repeated_intervals(docs, **options)
-    own = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "th": F.xxhash64(F.coalesce("text", F.lit("")))}) if not {"did", "th"} & set(docs.columns) else None
-    if own is None:
-        raise ValueError("columns named did or th can't be taken along; rename them")
-    columns = docs.columns
-    schema = docs.schema
-    lengths = "n_chars" in columns
-    kind = schema["n_chars"].dataType if lengths else None
+    did, th, found = fresh_names(docs, "__did", "__th", "__spans")
+    own = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    columns, schema = docs.columns, docs.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _cut(False)
         for b in batches:
-            names = b.schema.names
-            for part in slices(b.set_column(names.index("text"), "text", b.column(names.index("text")).fill_null(""))):
-                result = pa.Table.from_batches(list(cut(iter([part])))).combine_chunks()
+            at = {c: i for i, c in enumerate(b.schema.names)}
+            for part in slices(b, "text"):
+                arrays = [part.column(at[c]) for c in columns]
+                asked = pa.RecordBatch.from_arrays([part.column(at[c]) for c in (did, th, "text", found)], names=["did", "th", "text", "spans"])
+                result = pa.Table.from_batches(list(cut(iter([asked])))).combine_chunks()
                 removed, words = result["n_removed"].to_numpy(), result["n_words"].to_numpy()
                 changed = removed > 0
-                original = part.column(names.index("text")).to_pylist()
-                texts = [k if c else t for t, k, c in zip(original, result["kept"].to_pylist(), changed)]
-                arrays = dict(zip(names, part.columns))
-                arrays["text"] = pa.array(texts, arrays["text"].type)
-                if lengths:
-                    old = arrays["n_chars"].to_pylist()
-                    arrays["n_chars"] = pa.array([len(t) if c else o for t, c, o in zip(texts, changed, old)], arrays["n_chars"].type)
-                stay = pa.array(~changed | (removed < words))
-                yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns).filter(stay)
-
-    del kind
-    joined = own.join(spans, ["did", "th"], "left")
-    return joined.select(*columns, "did", "th", "spans").mapInArrow(each, schema)
+                place = columns.index("text")
+                texts = [k if c else t for t, k, c in zip(arrays[place].to_pylist(), result["kept"].to_pylist(), changed)]
+                arrays[place] = pa.array(texts, arrays[place].type)
+                if "n_chars" in columns:
+                    place = columns.index("n_chars")
+                    arrays[place] = pa.array([len(t) if c else old for t, c, old in zip(texts, changed, arrays[place].to_pylist())], arrays[place].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(~changed | (removed < words)))
+
+    joined = own.join(spans.select(F.col("did").alias(did), F.col("th").alias(th), F.col("spans").alias(found)), [did, th], "left")
+    return joined.select(*[f"`{c}`" for c in columns], did, th, found).mapInArrow(each, schema)
