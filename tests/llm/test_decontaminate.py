@@ -66,8 +66,8 @@ def test_planted_items_whole_and_in_parts(spark):
 
 def test_query_against_containment(spark, medium):
     items = [(r.item_id, tokens(r.text)) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()]
-    docs = {r.doc_id: " " + " ".join(tokens(r.text)) + " " for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
-    want = {(d, i) for d, t in docs.items() for i, words in items if f" {' '.join(words)} " in t}
+    docs = {r.doc_id: " ".join(tokens(r.text)) for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
+    want = {(d, i) for d, t in docs.items() for i, words in items if " ".join(words) in t}
     got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, medium).collect()}
     assert want and want <= got and len(got - want) <= 0.02 * len(want)
 

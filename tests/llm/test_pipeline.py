@@ -17,8 +17,8 @@ def test_against_brute_force(spark, small):
     docs = [(d, t) for d, t in docs if model.score(*raw(pa.array([t])))[0] >= quality.THRESHOLD]
     docs = [(d, t) for (d, t), (c, _) in zip(docs, brute_classes(docs)) if c == d]
     docs = [(d, " ".join(k) if g else t) for (d, t), (n, g, k) in zip(docs, brute_cut([t for _, t in docs])) if not g or g < n]
-    items = [f" {' '.join(tokens(r.text))} " for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    docs = [(d, t) for d, t in docs if not any(i in f" {' '.join(tokens(t))} " for i in items)]
+    items = [" ".join(tokens(r.text)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    docs = [(d, t) for d, t in docs if not any(i in " ".join(tokens(t)) for i in items)]
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r.doc_id for r in rows} == {d for d, _ in docs} and len(docs) > 50
     texts = dict(docs)
@@ -27,7 +27,8 @@ def test_against_brute_force(spark, small):
         assert r.round_trip and segment.decode(np.array(r.ids), pieces).decode() == texts[r.doc_id]
     d, t = docs[0]
     data, at = raw(pa.array([t]))
-    own = segment.Texts(pieces, data, at, mix(np.array([d], np.uint64) + np.uint64(segment.SEED) * segment._SIBLING), segment.ALPHA)
+    key = np.array([(d + segment.SEED * int(segment._SIBLING)) % 2**64], np.uint64)
+    own = segment.Texts(segment.Store(pieces, segment.ALPHA), data, at, mix(key))
     want = [segment.identifiers(own, x["edges"], x["units"]).tolist() for x in segment.sample_texts(own, segment.SAMPLES)[0]]
     assert [list(r.ids) for r in sorted((r for r in rows if r.doc_id == d), key=lambda r: r.sample)] == want
 
