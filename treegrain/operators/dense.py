@@ -90,8 +90,8 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, *, vector: str
     schema = "query_id long, id long, pos long, score double"
     for at in range(0, max(1, len(rows)), block):
         part = rows[at : at + block]
-        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
-        matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12) if len(part) else matrix
+        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), len(part[0][1]) if part else 0)
+        matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), matrix))
         source = corpus.select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos) if pos != key else F.col(key).cast("long").alias("__pos"), vector)
         local = source.mapInArrow(_local_top(shared, k, vector, key, pos if pos != key else "__pos"), schema) if part else spark.createDataFrame([], schema)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from treegrain.functions.text import module_name
 from treegrain.operators.chunk_text import chunk_text
 from treegrain.operators.chunks import append, number, text_list
+from treegrain.session import ship_code
 from treegrain.sources import parsers
 
 SUFFIXES = {"html": "html", "htm": "html", "xhtml": "html", "md": "markdown", "markdown": "markdown", "pdf": "pdf", "py": "python", "txt": "text", "rst": "text"}
@@ -78,20 +79,44 @@ def dispatch(docs: DataFrame, *, options: dict[str, dict] | None = None) -> Data
     return reduce(DataFrame.unionByName, [p.select(*_COLUMNS) for p in parts])
 
 
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for b in batches:
+        for path, relative in zip(b["path"], b["relative"]):
+            store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            with store.open_input_stream(name) as f:
+                yield pd.DataFrame({"path": [path], "relative": [relative], "content": [f.read()]})
+
+
 def files(spark: SparkSession, path: str, *, suffixes: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, relative, content) of the supported files below a directory; directories named in `exclude` are left out wherever they are."""
-    wanted = suffixes or list(SUFFIXES)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(wanted + [s.upper() for s in wanted]) + "}").load(path)
-    root = path.rstrip("/")
-    relative = F.regexp_replace("path", "^(file:)?/*" + re.escape(root.removeprefix("file:").lstrip("/")) + "/", "")
-    rows = rows.select("path", relative.alias("relative"), "content")
-    return rows.where(~F.arrays_overlap(F.split("relative", "/"), F.array(*[F.lit(x) for x in exclude]))) if exclude else rows
+    """(path, relative, content) of the supported files below a directory; directories named in `exclude` are left out wherever they are.
+
+    Spark's own file source passes over names that begin with an underscore, such as a package's __init__.py; so names are listed by the
+    file system's client, and contents are read in the executors, one file at a time.
+    """
+    wanted = set(suffixes or SUFFIXES)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(root).toString().rstrip("/") + "/"
+    found, listing = [], store.listFiles(root, True)
+    while listing.hasNext():
+        name = listing.next().getPath().toString()
+        relative = name[len(base) :]
+        if relative.rpartition(".")[2].lower() in wanted and "." in relative and not set(relative.split("/")[:-1]) & set(exclude):
+            found.append((name, relative))
+    ship_code(spark)
+    rows = spark.createDataFrame(found, "path string, relative string") if found else spark.createDataFrame([], "path string, relative string")
+    parts = max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))
+    return rows.repartition(parts).mapInPandas(_read_files, "path string, relative string, content binary")
 
 
 def directory(spark: SparkSession, path: str, *, qualified: bool = True, options: dict[str, dict] | None = None, exclude: tuple[str, ...] = (), pages=None) -> DataFrame:
     """Chunks of a directory's files in path order, numbered through. Python modules have dotted names relative to the directory, or file stems (qualified=False)."""
     found = files(spark, path, exclude=exclude)
-    found = number(found.select("path", "relative"), ["relative"], column="doc_id").join(found.select("path", "content"), "path")
+    # By the path's parts, as a recursive walk sorts them.
+    found = number(found.select("path", "relative", F.split("relative", "/").alias("__parts")), ["__parts"], column="doc_id").drop("__parts", "relative").join(found, "path")
     return _chunks_of_files(found, qualified=qualified, options=options, pages=pages)
 
 
