@@ -5,7 +5,8 @@ All functions work on the UTF-8 bytes of a slice of documents, without a Python
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     got = _powers.get(int(base))
     if got is None or len(got) < n:
-        m = max(n, 2 * SLICE_BYTES if got is None else 2 * len(got))
+        m = max(n + n // 8, SLICE_BYTES + SLICE_BYTES // 8)
         got = np.full(m, base, np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
@@ -47,6 +48,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A stage that gives freed memory back to the system when a task ends, since workers live on beside those of other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from stage(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return run
+
+
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
