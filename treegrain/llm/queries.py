@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treegrain.llm import chat, decontaminate, fingerprint, htmlcut, jaccard, quality, segment, sharding, substring, tokencount
+from treegrain.llm import chat, decontaminate, fingerprint, htmlcut, jaccard, oracles, quality, segment, sharding, substring, tokencount
 from treegrain.session import table
 
 
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -40,12 +40,14 @@ def number_slots(df: DataFrame, shard_col: str = "shard", order: Sequence[str] =
     """Number the rows of each shard 0, 1, 2 ... without gaps and without a task per shard.
 
     Rows that agree in all columns are counted before anything is shuffled, so a key with a third of all rows is a single
-    row of the shuffle. The rest are cut into `buckets` by a hash of all their columns; the number of rows of each bucket
-    (at most shards times buckets rows) gives its offset, and only within a bucket are rows sorted, by `order` and then the
-    other columns. Equal rows get consecutive slots, in no particular order since nothing tells them apart.
+    row of the shuffle. The rest are cut into `buckets` by an MD5 digest of the columns in `order`, which any engine can recompute; the number
+    of rows of each bucket (at most shards times buckets rows) gives its offset, and only within a bucket are rows sorted, by `order`
+    and then the other columns. Equal rows get consecutive slots, in no particular order since nothing tells them apart.
     """
     cols = [f"`{c}`" for c in df.columns]
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in order]))
+    counted = counted.withColumn("__b", (F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % buckets))
     counted = counted.repartition(shard_col, "__b")
     shard = f"`{shard_col}`"
     totals = counted.groupBy(shard, "__b").agg(F.sum("__n").alias("__t"))
@@ -67,5 +69,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, salt: str = "treegrain"
     thin = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     thin = thin.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32")
     assigned = assign_shards(thin, "doc_id", [1.0] * shards, grown=[1.0] * (shards + 1), salt=salt)
-    slotted = number_slots(assigned)
+    slotted = number_slots(assigned, order=("doc_id", "size", "text_crc32"))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
