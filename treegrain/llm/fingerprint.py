@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treegrain.llm.textblock import SLICE_BYTES, mix, prefix, raw, span_hashes
+from treegrain.llm.textblock import SLICE_BYTES, mix, prefix, raw, span_hashes, tidy
 from treegrain.session import ship_code, spread
 
 #: A block ends after a word whose hash falls into one of this many residues, or at the end of its paragraph.
@@ -226,7 +226,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raise ValueError("a bucket without its guest row")
 
 
-def edit_test(docs: DataFrame, *, rows_per_bucket: int = 20_000) -> DataFrame:
+def edit_test(docs: DataFrame, *, rows_per_bucket: int = 5000) -> DataFrame:
     """Fingerprint every document and its edited text (its last third replaced by the start of the next document's).
 
     The next document is the next smaller doc_id (null: smallest of all); equal ids follow in the order of a hash of their text;
@@ -270,4 +270,4 @@ def edit_test(docs: DataFrame, *, rows_per_bucket: int = 20_000) -> DataFrame:
         guests.select(F.col("before").alias("__bucket"), F.lit(None).cast("decimal(20,0)").alias("__k"), F.lit(None).cast("long").alias("__h"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("__guest"))
     )
     ordered = rows.repartition(len(heads), "__bucket").sortWithinPartitions("__bucket", "__guest", "__k", "__h")
-    return ordered.select("__bucket", "doc_id", "text", "__guest").mapInArrow(_pairs, RESULT)
+    return ordered.select("__bucket", "doc_id", "text", "__guest").mapInArrow(tidy(_pairs), RESULT)
