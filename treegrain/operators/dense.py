@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from treegrain.functions.vectors import checked, cosine, normalize
-from treegrain.session import ship_code
+from treegrain.session import ship_code, spill_table
 
 #: Queries that one pass over the corpus answers; their matrix is what is broadcast (at 1,000 dimensions 32 MB).
 QUERY_BLOCK = 4096
@@ -80,21 +80,29 @@ def _local_top(shared, k: int, vector: str, key: str, pos: str):
 def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, *, vector: str = "embedding", key: str = "id", pos: str = "pos", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, pos, score, rank) of the k rows most like each query (query_id, embedding); rank from 0, ties by pos.
 
-    Queries are broadcast in blocks of at most `block` rows, a bound that no corpus can exceed; each block is one pass over the corpus
-    that shuffles k rows per batch and query. Scores are rounded to 6 places before ranking.
+    Queries meet the corpus in blocks of at most about `block` rows: only one block at a time is on the driver and broadcast, a bound that
+    no table can exceed. Each block is one pass over the corpus that keeps k rows per batch and query; with more than one block,
+    a block's candidates are written to the shared folder before the next begins. Scores are rounded to 6 places before ranking.
     """
     spark = corpus.sparkSession
     ship_code(spark)
-    rows = sorted(queries.select("query_id", vector).collect(), key=lambda r: r[0])
-    out = None
     schema = "query_id long, id long, pos long, score double"
-    for at in range(0, max(1, len(rows)), block):
-        part = rows[at : at + block]
-        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), len(part[0][1]) if part else 0)
+    asked = queries.select("query_id", vector)
+    blocks = -(-asked.count() // block)
+    source = corpus.select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos) if pos != key else F.col(key).cast("long").alias("__pos"), vector)
+    out = spark.createDataFrame([], schema)
+    for n in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
+        part = sorted(mine.collect(), key=lambda r: r[0])
+        if not part:
+            continue
+        matrix = np.array([r[1] for r in part], np.float64)
         matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), matrix))
-        source = corpus.select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos) if pos != key else F.col(key).cast("long").alias("__pos"), vector)
-        local = source.mapInArrow(_local_top(shared, k, vector, key, pos if pos != key else "__pos"), schema) if part else spark.createDataFrame([], schema)
-        out = local if out is None else out.unionByName(local)
+        local = source.mapInArrow(_local_top(shared, k, vector, key, pos if pos != key else "__pos"), schema)
+        if blocks > 1:
+            local = spill_table(spark, local, "nearest")
+            shared.destroy()
+        out = local if blocks == 1 else out.unionByName(local)
     ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pos", "id")))
     return ranked.where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))

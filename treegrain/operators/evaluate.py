@@ -31,7 +31,7 @@ def relevant_counts(corpus: DataFrame, labelled: DataFrame) -> DataFrame:
 def per_query(results: DataFrame, corpus: DataFrame, labelled: DataFrame) -> DataFrame:
     """(query_id, n_results, hits, n_relevant, recall, precision) of results (query_id, id)."""
     paths = corpus.select("id", "node_path")
-    judged = results.select("query_id", "id").join(paths, "id").join(F.broadcast(labelled.select("query_id", "prefixes")), "query_id")
+    judged = results.select("query_id", "id").join(paths, "id").join(labelled.select("query_id", "prefixes"), "query_id")
     counted = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"), F.count_if(relevant(F.col("node_path"), F.col("prefixes"))).alias("hits"))
     joined = relevant_counts(corpus, labelled).join(counted, "query_id", "left").fillna(0, ["n_results", "hits"])
     return joined.select("query_id", "n_results", "hits", "n_relevant", (F.col("hits") / F.col("n_relevant")).alias("recall"), F.when(F.col("n_results") > 0, F.col("hits") / F.col("n_results")).otherwise(0.0).alias("precision"))

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from treegrain.functions.vectors import cosine
 from treegrain.operators import bm25, dense, fusion
-from treegrain.operators.expand import expand
+from treegrain.operators.expand import SEED_ROWS, expand
 
 
-def _seeds(ranked: DataFrame, corpus: DataFrame, scope: str | None) -> DataFrame:
+def _seeds(ranked: DataFrame, corpus: DataFrame, scope: str | None, bound: int) -> DataFrame:
     rows = corpus.select("id", "pos", "node_path", "parent_path", *([scope] if scope else []))
-    return rows.join(F.broadcast(ranked.select("query_id", "id", F.col("rank").alias("seed_rank"))), "id")
+    seeds = ranked.select("query_id", "id", F.col("rank").alias("seed_rank"))
+    return rows.join(F.broadcast(seeds) if bound <= SEED_ROWS else seeds, "id")
 
 
 def _expanded(ranked: DataFrame, corpus: DataFrame, k: int, n_queries: int, options: dict, do_expand: bool) -> DataFrame:
     scope = options.get("scope")
-    seeds = _seeds(ranked, corpus, scope)
+    seeds = _seeds(ranked, corpus, scope, k * n_queries)
     if not do_expand:
         options = {**options, "parents": False, "children": False, "siblings": False}
     return expand(seeds, corpus, seed_bound=k * n_queries, **options)
