@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from treegrain.llm.textblock import Words, raw, slices, span_hashes
+from treegrain.llm.textblock import Words, raw, slices, span_hashes, tidy
 from treegrain.session import fresh_names, ship_code, spread
 
 K1, B = 1.2, 0.75
@@ -250,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, retrieve: float = RET
         chosen = sorted((tuple(r) for r in mine.select(*own).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = BlockMaxIndex([tokens(r[1]) for r in chosen], Statistics(total["n"], float(total["mean"] or 0), {r["term"]: r["count"] for r in terms.collect()}))
         shared = spark.sparkContext.broadcast((index, [r[0] for r in chosen], [split_item(*r[1:]) for r in chosen]))
-        found = spread(rows).mapInArrow(_match(shared, retrieve, question, answer), FOUND)
+        found = spread(rows).mapInArrow(tidy(_match(shared, retrieve, question, answer)), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.graph import connected_components
-from treegrain.llm.textblock import Words, mix, ngram_hashes, raw, signed, slices
+from treegrain.llm.textblock import Words, mix, ngram_hashes, raw, signed, slices, tidy
 from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 NGRAM = 3
@@ -273,14 +273,14 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     spark = docs.sparkSession
     ship_code(spark)
     depth = prefix_depth(threshold, trees, recall)
-    signed_docs = spill_table(spark, spread(keyed(docs)).mapInArrow(_sign(ngram, trees, depth), SIGNED), "signatures")
+    signed_docs = spill_table(spark, spread(keyed(docs)).mapInArrow(tidy(_sign(ngram, trees, depth)), SIGNED), "signatures")
     nodes = signed_docs.groupBy("nk", "nk2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("did", "th")).alias("row"))
     members = signed_docs.select("nk", F.explode("keys").alias("bk"))
     shared = members.groupBy("bk").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")).where("lo != hi").select("bk")
     meeting = members.join(shared, "bk", "left_semi").distinct()
     sketches = signed_docs.select("nk", "sketch").dropDuplicates(["nk"])
     crowd = meeting.join(sketches, "nk").repartition("bk").sortWithinPartitions("bk", F.xxhash64("bk", "nk"))
-    joined = crowd.select("bk", "nk", "sketch").mapInArrow(_edges, "a long, b long")
+    joined = crowd.select("bk", "nk", "sketch").mapInArrow(tidy(_edges), "a long, b long")
     components = connected_components(joined, "candidates")
 
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     rows = keyed(docs).select("did", "th", "text").join(compared.select(F.col("row.did").alias("did"), F.col("row.th").alias("th"), "nk", "nk2", "copies", "component", "blocks", "block"), ["did", "th"]).dropDuplicates(["did", "th"])
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS bi, greatest(x, block) AS bj))")
     tasks = rows.withColumn("pair", F.explode(pairs)).select("component", "pair.bi", "pair.bj", "block", "nk", "nk2", "copies", "text")
-    verified = spill_table(spark, tasks.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_verify(ngram, threshold), VERIFIED), "links")
+    verified = spill_table(spark, tasks.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(tidy(_verify(ngram, threshold)), VERIFIED), "links")
 
     # Nodes are told apart by both hashes; a 64-bit name made of both serves for the graph of verified links.
     name = lambda x, y: F.xxhash64(x, y)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treegrain.llm.textblock import Words, mix, raw, slices
+from treegrain.llm.textblock import Words, mix, raw, slices, tidy
 from treegrain.session import ship_code, spread
 
 BUCKETS = 1 << 16
@@ -158,7 +158,7 @@ def score_column(docs: DataFrame, model: Model, score_col: str = "score") -> Dat
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return plain.mapInArrow(each, StructType([*plain.schema.fields, StructField(score_col, DoubleType())]))
+    return plain.mapInArrow(tidy(each), StructType([*plain.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.fmindex import FMIndex
-from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, word_prefix
+from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, tidy, word_prefix
 from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 WINDOW = 35
@@ -167,7 +167,7 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchor: int = A
     """
     spark = docs.sparkSession
     ship_code(spark)
-    all_segments = spill_table(spark, spread(keyed(docs)).mapInArrow(_segments(window, anchor), SEGMENTS), "segments")
+    all_segments = spill_table(spark, spread(keyed(docs)).mapInArrow(tidy(_segments(window, anchor)), SEGMENTS), "segments")
     twice = all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
     segments = spill_table(spark, all_segments.join(twice, "key", "left_semi"), "repeated-segments")
     kinds = segments.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.min(F.struct("did", "th", "place")).alias("row"))
@@ -178,8 +178,8 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchor: int = A
     asked = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("key", "did", "th", "place", "once", "crowded")).alias("wanted"))
     # Rows that are equal in doc_id and text would all answer; one suffices, and more would be copies of what was counted already.
     found = texts.join(asked, ["did", "th"])
-    of = lambda crowded: found.select("text", F.filter("wanted", (lambda x: x["crowded"]) if crowded else (lambda x: ~x["crowded"])).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(_contents, "key long, did long, th long, start long, once boolean, words binary")
-    searched = of(False).repartition("key").sortWithinPartitions("key").mapInArrow(_search(window, shard_words), INTERVALS)
+    of = lambda crowded: found.select("text", F.filter("wanted", (lambda x: x["crowded"]) if crowded else (lambda x: ~x["crowded"])).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(tidy(_contents), "key long, did long, th long, start long, once boolean, words binary")
+    searched = of(False).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_search(window, shard_words)), INTERVALS)
     whole = segments.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi")
     whole = whole.select("did", "th", F.shiftright("place", _START_BITS).alias("s"), (F.shiftright("place", _START_BITS) + F.col("place").bitwiseAND((1 << _START_BITS) - 1)).alias("e"))
     windows = of(True).mapInArrow(_windows(window), "w1 long, w2 long, did long, th long, s long, once boolean")
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, *, digest_only: bool = False, **options) ->
     repeated rows count as copies of each other; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     spans = repeated_intervals(docs, **options)
-    return keyed(docs).repartition("did", "th").join(spans, ["did", "th"], "left").select("did", "th", "text", "spans").mapInArrow(_cut(digest_only), CUT)
+    return keyed(docs).repartition("did", "th").join(spans, ["did", "th"], "left").select("did", "th", "text", "spans").mapInArrow(tidy(_cut(digest_only)), CUT)
 
 
 def cut_documents(docs: DataFrame, **options) -> DataFrame:
@@ -269,4 +269,4 @@ def cut_documents(docs: DataFrame, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(~changed | (removed < words)))
 
     joined = own.join(spans.select(F.col("did").alias(did), F.col("th").alias(th), F.col("spans").alias(found)), [did, th], "left")
-    return joined.select(*[f"`{c}`" for c in columns], did, th, found).mapInArrow(each, schema)
+    return joined.select(*[f"`{c}`" for c in columns], did, th, found).mapInArrow(tidy(each), schema)

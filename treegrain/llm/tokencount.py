@@ -10,6 +10,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treegrain.llm.textblock import tidy
 from treegrain.session import ship_code, spread
 
 #: How words are split before merging (contractions, letters, digits, other signs, white space), as byte-level tokenizers do by default.
@@ -133,4 +134,4 @@ def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
                 n = [count_text(t, path) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(each, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(docs.select("doc_id", "text")).mapInArrow(tidy(each), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
