@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treegrain.functions.text import strip
 from treegrain.operators.chunks import with_paths
+from treegrain.session import spread
 
 MIN_CHARS, MAX_CHARS = 40, 1200
 
@@ -53,7 +54,8 @@ def chunk_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text", titl
     """
     name = F.coalesce(F.col(title), F.lit("Document")) if title else F.lit("Document")
     pieces = F.flatten(F.transform(merged(paragraphs(F.col(text)), min_chars), lambda p: packed(p, max_chars)))
-    rows = docs.select(F.col(key), name.alias("__title"), F.concat(F.array(F.lit("")), pieces).alias("__parts"))
+    rows = spread(docs.select(F.col(key), text, *([title] if title else [])))
+    rows = rows.select(F.col(key), name.alias("__title"), F.concat(F.array(F.lit("")), pieces).alias("__parts"))
     rows = rows.select(key, "__title", F.posexplode("__parts").alias("local_id", "__part"))
     path = F.when(F.col("local_id") == 0, root).otherwise(F.concat(F.lit(f"{root}.p"), F.col("local_id").cast("string")))
     rows = rows.withColumn("node_path", path)

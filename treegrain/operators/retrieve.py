@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from treegrain.functions.vectors import cosine
 from treegrain.operators import bm25, dense, fusion
 from treegrain.operators.expand import SEED_ROWS, expand
+from treegrain.session import spill_table
 
 
 def _seeds(ranked: DataFrame, corpus: DataFrame, scope: str | None, bound: int) -> DataFrame:
@@ -32,7 +33,8 @@ def dense_query(corpus: DataFrame, queries: DataFrame, k: int = 10, *, expand_su
     """
     dense.check_size(corpus, 1)
     n = queries.count()
-    ranked = dense.nearest_batch(corpus.where(F.col(vector).isNotNull()), queries, k, vector=vector)
+    # Seeds are needed twice; k rows a query are written out rather than searched for twice.
+    ranked = spill_table(corpus.sparkSession, dense.nearest_batch(corpus.where(F.col(vector).isNotNull()), queries, k, vector=vector), "seeds")
     rows = _expanded(ranked, corpus, k, n, options, expand_subtree)
     if not rescore:
         scored = rows.join(ranked.select("query_id", "id", "score"), ["query_id", "id"], "left")
@@ -57,6 +59,6 @@ def hybrid_query(corpus: DataFrame, queries: DataFrame, k: int = 10, *, use_hybr
     most = max(4 * k, 20)
     semantic = dense.nearest_batch(corpus.where(F.col(vector).isNotNull()), queries, semantic_candidates or most, vector=vector)
     lexical = bm25.search(corpus.where("text is not null").select("id", "text"), queries.select("query_id", "text"), bm25_candidates or most, k1=bm25_k1, b=bm25_b, key="id").withColumnRenamed("doc_id", "id")
-    fused = fusion.fuse([semantic, lexical], k, rrf_k=rrf_k)
+    fused = spill_table(corpus.sparkSession, fusion.fuse([semantic, lexical], k, rrf_k=rrf_k), "seeds")
     rows = _expanded(fused, corpus, k, n, options, expand_subtree)
     return rows.join(fused.select("query_id", "id", "rrf"), ["query_id", "id"], "left").select("query_id", "out_pos", "id", "rrf", "relation", "seed_path")

@@ -65,6 +65,8 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a Python stage at least as many partitions as there are cores; large inputs already have them and aren't moved."""
+    """Give costly work on texts at least as many partitions as there are cores; large inputs already have them and aren't moved."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 6) else df

@@ -14,7 +14,7 @@ from treegrain.operators.chunk_markdown import markdown_rows
 from treegrain.operators.chunk_pdf import extractor, pdf_rows
 from treegrain.operators.chunk_python import python_rows
 from treegrain.operators.outline import Row
-from treegrain.session import ship_code
+from treegrain.session import ship_code, spread
 
 PARSED = "doc_id long, local_id long, text string, depth int, node_path string, source_file string, start_line int, end_line int"
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -42,7 +42,8 @@ def run_parser(docs: DataFrame, parse: Callable[..., list[Row]], columns: list[s
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
-    rows = docs.select(F.col(key).cast("long"), (F.col(source) if source else F.lit(None)).cast("string").alias("__named"), *columns).mapInArrow(each, PARSED)
+    needed = docs.select(F.col(key).cast("long"), (F.col(source) if source else F.lit(None)).cast("string").alias("__named"), *columns)
+    rows = spread(needed).mapInArrow(each, PARSED)
     return rows.withColumn("parent_path", parent_path(F.col("node_path"))).withColumn("name", path_name(F.col("node_path")))
 
 
