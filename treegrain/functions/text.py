@@ -15,7 +15,7 @@ def strip(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and _ of at least two characters; null has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]"), lambda x: F.length(x) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0))
 
 
 def slug(title: Column, *, fold_accents: bool = False, limit: int = 32) -> Column:
