@@ -7,7 +7,7 @@ import pytest
 
 import treegrain.llm.jaccard as module
 from treegrain.llm.graph import connected_components
-from treegrain.llm.jaccard import keep_one, near_duplicates, overlaps, prefix_depth
+from treegrain.llm.jaccard import RECALL, THRESHOLD, TREES, keep_one, near_duplicates, overlaps, prefix_depth
 from treegrain.llm.queries import op10_ngram_jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -19,7 +19,7 @@ def grams(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, threshold=0.7):
+def brute(rows, threshold=THRESHOLD):
     """[(class_id, n_links)] for rows of (doc_id, text)."""
     sets = [grams(t) for _, t in rows]
     parent, links = list(range(len(rows))), Counter()
@@ -65,7 +65,9 @@ def family(seed, originals, copies):
 
 
 def test_depth_reaches_the_target():
-    for t in (0.5, 0.7, 0.9):
+    d = prefix_depth()
+    assert d == 4 and 1 - (1 - THRESHOLD**d) ** TREES >= RECALL
+    for t in (0.7, 0.9):
         d = prefix_depth(t, 24, 0.985)
         assert 1 - (1 - t**d) ** 24 >= 0.985 > 1 - (1 - t ** (d + 1)) ** 24 or d == 12
 

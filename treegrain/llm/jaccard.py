@@ -14,12 +14,13 @@ from treegrain.llm.textblock import Words, mix, ngram_hashes, raw, signed, slice
 from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 NGRAM = 3
-THRESHOLD = 0.7
-TREES = 24
+#: At 0.5, texts that differ in up to an eighth of their words are linked.
+THRESHOLD = 0.5
+TREES = 56
 DEEPEST = 12
-RECALL = 0.985
+RECALL = 0.97
 #: Sketch agreement that joins two members of a bucket for verification, and agreement above which a member leaves its place to a pivot.
-LOOSE, TIGHT = 0.45, 0.9
+LOOSE, TIGHT = 0.32, 0.95
 #: Members of a component that are compared in one task; larger components are cut into pairs of blocks of this many.
 BLOCK = 512
 
