@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -21,7 +22,9 @@ def ship_code(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir() and not str(root).endswith(".zip"):
-        to = Path(tempfile.mkdtemp(prefix="treegrain-code-")) / "treegrain_code.zip"
+        at = tempfile.mkdtemp(prefix="treegrain-code-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        to = Path(at) / "treegrain_code.zip"
         with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, str(p.relative_to(root.parent)))
@@ -35,15 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, else (tests, one machine) a folder under the working directory's temp space."""
+    """This application's folder in the place that all executors see: spark.checkpoint.dir, else (tests, one machine) a temporary folder that goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = there.get() if there.isDefined() else None
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "treegrain-shared")
+        at = tempfile.mkdtemp(prefix="treegrain-shared-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        root = f"file://{at}"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/treegrain-{spark.sparkContext.applicationId}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete the tables that this application has written into the shared folder; results that have not been written elsewhere go with them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spill_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
