@@ -192,6 +192,34 @@ def test_numbering_and_append(spark):
     assert hierarchy_warnings(one).first()[0] is None and "tier" in hierarchy_warnings(deep).first()[0] and hierarchy_warnings(one.limit(0)).first()[0] == "no chunks"
 
 
+def test_numbers_of_many_rows_are_gapless(spark):
+    rows = number(spark.range(0, 200_000, numPartitions=7).selectExpr("(id * 7919) % 200000 AS v", "id AS pad"), ["v"])
+    assert tuple(rows.agg(F.count("pos"), F.countDistinct("pos"), F.max("pos") + 1, F.count_if(F.col("pos") == F.col("v"))).first()) == (200_000,) * 4
+    assert number(spark.range(3).limit(0), ["id"]).count() == 0
+
+
+def test_vectors_of_another_length_and_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<float>").withColumn("pos", F.col("id"))
+    queries = df.select(F.col("id").alias("query_id"), "embedding")
+    assert [(r.query_id, r.id) for r in dense.nearest_batch(df, queries, 1).orderBy("query_id").collect()] == [(1, 1), (3, 3)]
+    with pytest.raises(Exception, match="expected 2 dimensions"):
+        dense.nearest_batch(df.unionByName(spark.createDataFrame([(4, [1.0], 4)], "id long, embedding array<float>, pos long")), queries, 1).collect()
+
+
+def test_a_popular_parent_gives_its_first_children(spark):
+    corpus = with_paths(spark.range(20_000).selectExpr("id", "id AS pos", "concat('r.c', id) AS node_path"))
+    seeds = corpus.where("id = 15000").select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("seed_rank"), "*")
+    assert [r.id for r in expand(seeds, corpus, max_expand=4).orderBy("out_pos").collect()] == [15000, 0, 1, 2]
+
+
+def test_a_kept_index(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common" + " w1" * (i % 4)) for i in range(50)] + [(50, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "w1 common"), (1, "w6"), (2, "nothing")], "query_id long, text string")
+    kept = bm25.search_index(bm25.build(docs), asked, 5)
+    for block in (1024, 1):
+        assert sorted(map(tuple, bm25.search(docs, asked, 5, block=block).collect())) == sorted(map(tuple, kept.collect()))
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         T.slug(F.lit("Hello, Wörld!")), T.slug(F.lit("Ñandú É"), fold_accents=True), T.parent_path(F.lit("a.b.c")), T.parent_path(F.lit("a")), T.path_name(F.lit("a.b")), T.article_number(F.lit("Article 12 x")), T.article_number(F.lit("Part 1")),

@@ -1,4 +1,6 @@
-from treegrain.session import fresh_names, purge, shared_dir, spill_table, spread
+from pathlib import Path
+
+from treegrain.session import discard, fresh_names, materialize, purge, shared_dir, spill_table, spread
 
 
 def test_tables_in_the_shared_folder(spark):
@@ -11,6 +13,21 @@ def test_tables_in_the_shared_folder(spark):
     assert spill_table(spark, df, "test").count() == 10
 
 
+def test_tables_on_the_way_go(spark):
+    made = []
+
+    def make():
+        made.append(spill_table(spark, spark.range(5), "step"))
+        return made[0].where("id > 1")
+
+    folders = lambda df: {Path(f.removeprefix("file:")).parent for f in df.inputFiles()}
+    kept = materialize(spark, make, "result")
+    assert kept.count() == 3 and not any(f.exists() for f in folders(made[0]))
+    where = folders(kept)
+    discard(kept)
+    assert where and not any(f.exists() for f in where)
+
+
 def test_names_and_partitions(spark):
     df = spark.createDataFrame([(1, 2)], "A int, a_ int")
     assert fresh_names(df, "a", "b", "B") == ["a__", "b", "B_"]

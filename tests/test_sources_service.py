@@ -136,7 +136,11 @@ def test_summaries(spark, tmp_path):
     assert [r.summary for r in made.collect()] == ["b!"]
     assert {r.text for r in summaries.apply(chunks, cache.unionByName(made)).collect()} == {"a\nsum a", "b\nb!"}
     summaries.save_cache(cache, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert summaries.load_cache(spark, str(tmp_path / "out")).collect() == cache.collect()
+    asked = []
+    note = lambda prompts: [asked.append(p) or "s" for p in prompts]
+    assert [summaries.resume(chunks, str(tmp_path / "kept"), note, every=1) for _ in range(2)] == [2, 0]
+    assert summaries.load_cache(spark, str(tmp_path / "kept")).count() == 2
 
 
 def test_service_rules(spark):

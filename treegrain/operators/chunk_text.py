@@ -1,50 +1,51 @@
-"""Plain text into a root and paragraphs, as Catalyst expressions only."""
+"""Plain text into a root and paragraphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-from treegrain.functions.text import strip
 from treegrain.operators.chunks import with_paths
-from treegrain.session import spread
+from treegrain.session import ship_code, spread
 
 MIN_CHARS, MAX_CHARS = 40, 1200
-
-
-def paragraphs(text: Column) -> Column:
-    """Parts between blank lines, stripped, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n+"), strip), lambda p: p != "")
-
-
-def merged(parts: Column, min_chars: int = MIN_CHARS) -> Column:
-    """Short paragraphs joined with what follows until they reach min_chars; what is left over joins the last one."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
-
-    def step(s, p):
-        buf = F.when(s["buf"] == "", p).otherwise(F.concat(s["buf"], F.lit("\n\n"), p))
-        full = F.length(buf) >= min_chars
-        return F.struct(F.when(full, F.concat(s["done"], F.array(buf))).otherwise(s["done"]).alias("done"), F.when(full, "").otherwise(buf).alias("buf"))
-
-    def finish(s):
-        n = F.size(s["done"])
-        joined = F.concat(F.slice(s["done"], F.lit(1), n - 1), F.array(F.concat(F.element_at(s["done"], -1), F.lit("\n\n"), s["buf"])))
-        return F.when(s["buf"] == "", s["done"]).when(n == 0, F.array(s["buf"])).otherwise(joined)
-
-    return F.aggregate(parts, state, step, finish)
-
-
-def packed(part: Column, max_chars: int = MAX_CHARS) -> Column:
-    """A paragraph over max_chars, cut after sentences and packed greedily; a single sentence is never cut."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
-
-    def step(s, x):
-        over = (s["buf"] != "") & (F.length(s["buf"]) + F.length(x) + 1 > max_chars)
-        grown = F.when(s["buf"] == "", x).otherwise(F.concat(s["buf"], F.lit(" "), x))
-        return F.struct(F.when(over, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]).alias("done"), F.when(over, x).otherwise(grown).alias("buf"))
-
-    sentences = F.split(part, r"(?<=[.!?])\s+(?=[A-Z])")
-    pieces = F.aggregate(sentences, state, step, lambda s: F.when(s["buf"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))))
-    return F.when(F.length(part) <= max_chars, F.array(part)).otherwise(pieces)
+_BLANK, _SENTENCE = re.compile(r"\n\s*\n+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+
+
+def pieces(text: str | None, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> list[str]:
+    """Paragraphs (parts between blank lines). Short ones are joined with what follows until they reach min_chars, what is left over joins the last one; those
+    over max_chars are cut after sentences and packed greedily; a single sentence is never cut. Time grows with the text's length only."""
+    done: list[list[str]] = []
+    held, size = [], 0
+    for p in _BLANK.split(text or ""):
+        p = p.strip()
+        if not p:
+            continue
+        size += len(p) + 2 * bool(held)
+        held.append(p)
+        if size >= min_chars:
+            done.append(held)
+            held, size = [], 0
+    if held:
+        done[-1:] = [done[-1] + held] if done else [held]
+    out = []
+    for parts in done:
+        paragraph = "\n\n".join(parts)
+        if len(paragraph) <= max_chars:
+            out.append(paragraph)
+            continue
+        run, size = [], 0
+        for sentence in _SENTENCE.split(paragraph):
+            if run and size + len(sentence) + 1 > max_chars:
+                out.append(" ".join(run))
+                run, size = [], 0
+            size += len(sentence) + bool(run)
+            run.append(sentence)
+        out.append(" ".join(run))
+    return out
 
 
 def chunk_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text", title: str | None = None, root: str = "doc", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -53,9 +54,14 @@ def chunk_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text", titl
     Narrow: documents neither meet nor move. Null text has a root only.
     """
     name = F.coalesce(F.col(title), F.lit("Document")) if title else F.lit("Document")
-    pieces = F.flatten(F.transform(merged(paragraphs(F.col(text)), min_chars), lambda p: packed(p, max_chars)))
+    ship_code(docs.sparkSession)
+
+    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([["", *pieces(t, min_chars, max_chars)] for t in s])
+
     rows = spread(docs.select(F.col(key), text, *([title] if title else [])))
-    rows = rows.select(F.col(key), name.alias("__title"), F.concat(F.array(F.lit("")), pieces).alias("__parts"))
+    rows = rows.select(F.col(key), name.alias("__title"), F.pandas_udf(each, "array<string>")(F.col(text)).alias("__parts"))
     rows = rows.select(key, "__title", F.posexplode("__parts").alias("local_id", "__part"))
     path = F.when(F.col("local_id") == 0, root).otherwise(F.concat(F.lit(f"{root}.p"), F.col("local_id").cast("string")))
     rows = rows.withColumn("node_path", path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from treegrain.functions.text import parent_path, path_name
+from treegrain.session import fresh_names, spill_table
 
 CHUNK = StructType(
     [
@@ -28,19 +29,22 @@ def with_paths(df: DataFrame) -> DataFrame:
     return df.withColumn("parent_path", parent_path(F.col("node_path"))).withColumn("name", path_name(F.col("node_path")))
 
 
-def number(df: DataFrame, order: list[str], *, start: int = 0, column: str = "pos", groups: int = 1024) -> DataFrame:
+def number(df: DataFrame, order: list[str], *, start: int = 0, column: str = "pos") -> DataFrame:
     """Number rows from `start` in the given order, without a gap and without sorting everything in one task.
 
-    Rows are sorted into ranges of that order; the ranges' sizes (one small row each) give their offsets. `groups` bounds their number. The
-    order has to tell rows apart for the numbers to be the same in every run.
+    Rows are sorted into ranges of that order and written out once with their place in their range, so that the ranges' sizes (one small row each) and
+    the rows they are added to come from the same ranges: a second sampling would draw other bounds. The order has to tell rows apart for
+    the numbers to be the same in every run. An empty table gives no rows.
     """
     spark = df.sparkSession
-    parts = min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
-    within = ranged.withColumn("__row", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__range", (F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__offset"))
-    return within.join(F.broadcast(offsets), "__range").withColumn(column, (F.col("__offset") + F.col("__row") - 1 + F.lit(start)).cast("long")).drop("__range", "__row", "__offset")
+    place, of, before = fresh_names(df, "__place", "__range", "__before")
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # The id is the partition's number in the upper 31 bits and the row's within it in the lower 33.
+    placed = spill_table(spark, ranged.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    sizes = placed.groupBy(F.shiftright(place, 33).alias(of)).agg((F.max(F.col(place).bitwiseAND((1 << 33) - 1)) + 1).alias("n"))
+    offsets = sizes.select(of, (F.sum("n").over(W.orderBy(of)) - F.col("n")).alias(before))
+    joined = placed.withColumn(of, F.shiftright(place, 33)).join(F.broadcast(offsets), of)
+    return joined.withColumn(column, (F.col(before) + F.col(place).bitwiseAND((1 << 33) - 1) + F.lit(start)).cast("long")).drop(place, of, before)
 
 
 def append(corpus: DataFrame | None, new: DataFrame, order: list[str]) -> DataFrame:

@@ -10,11 +10,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from treegrain.functions.vectors import checked, cosine, normalize
+from treegrain.functions.vectors import LETTERS, checked, cosine, normalize
+from treegrain.operators.topk import FOUND, TopK, choose
 from treegrain.session import ship_code, spill_table
 
 #: Queries that one pass over the corpus answers; their matrix is what is broadcast (at 1,000 dimensions 32 MB).
 QUERY_BLOCK = 4096
+#: Rows of the corpus that one product takes.
+ROWS = 512
 
 
 def index(chunks: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -33,6 +36,12 @@ def encode(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], *, tex
     return chunks.withColumn(vector, F.pandas_udf(each, "array<float>")(F.col(text)))
 
 
+def letters(texts: list[str]) -> np.ndarray:
+    """An encoder without weights: how often each of a..h occurs in a text, ignoring case."""
+    wanted = np.frombuffer(LETTERS.encode(), np.uint8)
+    return np.array([np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)[wanted] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
+
+
 def nearest(corpus: DataFrame, query: list[float], k: int, *, vector: str = "embedding", keys: list[str] | None = None) -> DataFrame:
     """The k rows most like one vector: score (rounded to 6 places, ties by pos) and the rows' keys. Columns other than those aren't read.
 
@@ -56,23 +65,25 @@ def check_size(corpus: DataFrame, k: int) -> int:
 
 
 def _local_top(shared, k: int, vector: str, key: str, pos: str):
-    """Of each batch of corpus rows, the k best for every query: one matrix product."""
+    """Of each task's corpus rows, the k best for every query: matrix products of at most ROWS rows, whose best are chosen without sorting the rest."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        for b in batches:
-            names = b.schema.names
-            if not b.num_rows:
-                continue
-            rows = np.asarray(b.column(names.index(vector)).flatten(), np.float64).reshape(b.num_rows, -1)
-            rows = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-12)
-            scores = np.round(matrix @ rows.T, 6) + 0.0
-            own, place = b.column(names.index(key)).to_numpy(), b.column(names.index(pos)).to_numpy()
-            by = np.argsort(place, kind="stable")
-            scores = scores[:, by]
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[by][top].ravel()), pa.array(place[by][top].ravel()), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query_id", "id", "pos", "score"])
+        best = TopK(k, len(ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                names = b.schema.names
+                column = b.column(names.index(vector))
+                if not (np.asarray(column.value_lengths()) == matrix.shape[1]).all():
+                    raise ValueError(f"expected {matrix.shape[1]} dimensions")
+                rows = np.asarray(column.flatten(), np.float64).reshape(b.num_rows, -1)
+                rows = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-12)
+                own, place = b.column(names.index(key)).to_numpy(), b.column(names.index(pos)).to_numpy()
+                by = np.lexsort((own, place))
+                top, scores = choose(np.rint(matrix @ rows[by].T * 1e6).astype(np.int64), k)
+                best.add(np.repeat(ids, top.shape[1]), own[by][top].ravel(), place[by][top].ravel(), scores.ravel() / 1e6)
+        yield best.rows()
 
     return each
 
@@ -81,25 +92,25 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, *, vector: str
     """(query_id, id, pos, score, rank) of the k rows most like each query (query_id, embedding); rank from 0, ties by pos.
 
     Queries meet the corpus in blocks of at most about `block` rows: only one block at a time is on the driver and broadcast, a bound that
-    no table can exceed. Each block is one pass over the corpus that keeps k rows per batch and query; with more than one block,
+    no table can exceed. Each block is one pass over the corpus that keeps k rows per task and query; with more than one block,
     a block's candidates are written to the shared folder before the next begins. Scores are rounded to 6 places before ranking.
+    Rows and queries without a vector are left out; vectors of another length than the queries' are an error.
     """
     spark = corpus.sparkSession
     ship_code(spark)
-    schema = "query_id long, id long, pos long, score double"
-    asked = queries.select("query_id", vector)
-    blocks = -(-asked.count() // block)
-    source = corpus.select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos) if pos != key else F.col(key).cast("long").alias("__pos"), vector)
-    out = spark.createDataFrame([], schema)
+    asked = queries.select("query_id", vector).where(F.col(vector).isNotNull())
+    first = asked.limit(block + 1).collect()
+    blocks = 1 if len(first) <= block else -(-asked.count() // block)
+    source = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos) if pos != key else F.col(key).cast("long").alias("__pos"), vector)
+    out = spark.createDataFrame([], FOUND)
     for n in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
-        part = sorted(mine.collect(), key=lambda r: r[0])
+        part = sorted(first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect(), key=lambda r: r[0])
         if not part:
             continue
         matrix = np.array([r[1] for r in part], np.float64)
         matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), matrix))
-        local = source.mapInArrow(_local_top(shared, k, vector, key, pos if pos != key else "__pos"), schema)
+        local = source.mapInArrow(_local_top(shared, k, vector, key, pos if pos != key else "__pos"), FOUND)
         if blocks > 1:
             local = spill_table(spark, local, "nearest")
             shared.destroy()

@@ -10,15 +10,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from treegrain.functions.text import chunk_key, summary_prompt
 
 
-def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(key, summary) of a JSON cache {model, generated_at, n_summaries, summaries: {key: summary}}."""
-    rows = spark.read.schema("model string, generated_at string, n_summaries long, summaries map<string,string>").option("multiLine", True).json(path)
-    return rows.select(F.explode("summaries").alias("key", "summary"))
+_CACHE = "model string, generated_at string, n_summaries long, summaries map<string,string>"
 
 
-def save_cache(cache: DataFrame, path: str) -> None:
-    """Write (key, summary) as JSON lines; a table of any size is written by its own tasks."""
-    cache.select("key", "summary").write.mode("overwrite").json(path)
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(key, summary) of a JSON cache: one file {model, generated_at, n_summaries, summaries: {key: summary}}, or a folder of such objects, one a line, as save_cache() leaves it.
+
+    A path that isn't there is an empty cache. A key that was written more than once counts once.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return spark.createDataFrame([], "key string, summary string")
+    rows = spark.read.schema(_CACHE).option("multiLine", not store.getFileStatus(at).isDirectory()).json(path)
+    return rows.select(F.explode("summaries").alias("key", "summary")).groupBy("key").agg(F.max("summary").alias("summary"))
+
+
+def save_cache(cache: DataFrame, path: str, *, model: str | None = None, mode: str = "overwrite") -> None:
+    """Write (key, summary) as the lines of a folder that load_cache() reads; a table of any size is written by its own tasks."""
+    cache.select(F.lit(model).alias("model"), F.current_timestamp().cast("string").alias("generated_at"), F.lit(1).cast("long").alias("n_summaries"), F.create_map("key", "summary").alias("summaries")).write.mode(mode).json(path)
+
+
+def resume(chunks: DataFrame, path: str, model: Callable[[list[str]], list[str]], *, every: int = 500, name: str | None = None) -> int:
+    """Summarize the chunks that the cache at `path` lacks and add them to it, about `every` at a time; the number of chunks that were left to do.
+
+    What a run that fails has added stays, and the next one goes on from there.
+    """
+    spark = chunks.sparkSession
+    left = todo(chunks, load_cache(spark, path)).count()
+    blocks = -(-left // every)
+    for k in range(blocks):
+        part = chunks.where(F.pmod(F.xxhash64("node_path", "text"), F.lit(blocks)) == k)
+        save_cache(generate(part, load_cache(spark, path), model), path, model=name, mode="append")
+    return left
 
 
 def todo(chunks: DataFrame, cache: DataFrame) -> DataFrame:

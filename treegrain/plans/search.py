@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treegrain.functions.vectors import letter_counts
 from treegrain.operators import bm25, dense, evaluate, fusion, retrieve
 from treegrain.operators.chunks import with_paths
 from treegrain.operators.expand import expand
-from treegrain.session import table
+from treegrain.session import spill_table, table
 
 K = 5
 CAP = 50
@@ -17,12 +16,12 @@ PARENT = 1_000_000_000_000
 
 
 def label_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as chunks label{l}.v{id}, and a row without a vector for each label."""
+    """An index of embeddings as chunks label{l}.v{id}, and a row without a vector for each label."""
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.concat(F.lit("label"), F.col("label").cast("string"), F.lit(".v"), F.col("vec_id").cast("string")).alias("node_path"), "embedding")
     labels = e.groupBy("label").agg(F.lit(None).cast("array<float>").alias("embedding"))
     above = labels.select((F.lit(PARENT) + F.col("label")).alias("id"), (F.lit(PARENT) + F.col("label")).alias("pos"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("node_path"), "embedding")
-    return with_paths(rows.unionByName(above))
+    return spill_table(spark, with_paths(rows.unionByName(above)), "index")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,35 +129,39 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks {source}.d{doc_id} with letter-count vectors, and a row without text for each source."""
+    """An index of documents as chunks {source}.d{doc_id} with letter-count vectors, and a row without a vector for each source. Texts stay where they are."""
     d = table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text", F.concat(F.coalesce("source", F.lit("none")), F.lit(".d"), F.col("doc_id").cast("string")).alias("node_path"), letter_counts(F.col("text")).cast("array<float>").alias("embedding"))
+    rows = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text", F.concat(F.coalesce("source", F.lit("none")), F.lit(".d"), F.col("doc_id").cast("string")).alias("node_path"))
     sources = d.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.min("doc_id").alias("least"))
-    above = sources.select((F.lit(PARENT) + F.col("least")).alias("id"), (F.lit(PARENT) + F.col("least")).alias("pos"), F.lit(None).cast("string").alias("text"), F.col("source").alias("node_path"), F.lit(None).cast("array<float>").alias("embedding"))
-    return with_paths(rows.unionByName(above))
+    above = sources.select((F.lit(PARENT) + F.col("least")).alias("id"), (F.lit(PARENT) + F.col("least")).alias("pos"), F.col("source").alias("node_path"), F.lit(None).cast("array<float>").alias("embedding"))
+    return spill_table(spark, with_paths(dense.encode(rows, dense.letters).drop("text").unionByName(above)), "index")
 
 
-def _hybrid_queries(corpus: DataFrame) -> DataFrame:
-    return corpus.where(F.col("id") < PARENT).where("id % 100 = 0").select(F.col("id").alias("query_id"), "text", "embedding")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _hybrid_queries(spark: SparkSession, sf_dir: str, corpus: DataFrame) -> DataFrame:
+    vectors = corpus.where((F.col("id") < PARENT) & (F.col("id") % 100 == 0)).select(F.col("id").alias("query_id"), "embedding")
+    return vectors.join(text_queries(spark, sf_dir), "query_id")
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest by letter counts and the ten best by BM25, fused."""
-    corpus = source_corpus(spark, sf_dir).where(F.col("id") < PARENT)
-    queries = _hybrid_queries(corpus)
-    semantic = dense.nearest_batch(corpus, queries, 10)
-    lexical = bm25.search(corpus.select("id", "text"), queries, 10, key="id").withColumnRenamed("doc_id", "id")
+    corpus = source_corpus(spark, sf_dir)
+    semantic = dense.nearest_batch(corpus, corpus.where((F.col("id") < PARENT) & (F.col("id") % 100 == 0)).select(F.col("id").alias("query_id"), "embedding"), 10)
+    lexical = bm25.search(_texts(spark, sf_dir), text_queries(spark, sf_dir), 10, key="id").withColumnRenamed("doc_id", "id")
     return fusion.fuse([semantic, lexical], 10)
 
 
 def hybrid_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = source_corpus(spark, sf_dir)
-    return retrieve.hybrid_query(corpus, _hybrid_queries(corpus), 10, expand_subtree=False)
+    return retrieve.hybrid_query(corpus, _hybrid_queries(spark, sf_dir, corpus), 10, texts=_texts(spark, sf_dir), expand_subtree=False)
 
 
 def hybrid_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = source_corpus(spark, sf_dir)
-    return retrieve.hybrid_query(corpus, _hybrid_queries(corpus), 10)
+    return retrieve.hybrid_query(corpus, _hybrid_queries(spark, sf_dir, corpus), 10, texts=_texts(spark, sf_dir))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import shutil
 import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
+#: Folders of tables that spill_table() wrote, by the DataFrame that reads them; and those written inside the innermost materialize().
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_inside: contextvars.ContextVar = contextvars.ContextVar("treegrain_inside", default=None)
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -38,12 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the place that all executors see: spark.checkpoint.dir, else (tests, one machine) a temporary folder that goes when the process ends."""
+    """This application's folder in the place that all executors see: spark.checkpoint.dir. Where it is unset, a master on one machine gets a
+    temporary folder that goes when the process ends; any other master is an error, since executors there don't share the driver's disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = there.get() if there.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="treegrain-shared-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         root = f"file://{at}"
@@ -51,17 +59,46 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/treegrain-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete the tables that this application has written into the shared folder; results that have not been written elsewhere go with them."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, shared_dir(spark))
 
 
 def spill_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     to = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    back = spark.read.schema(df.schema).parquet(to)
+    _folders[back] = to
+    if _inside.get() is not None:
+        _inside.get().append(to)
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of spill_table() that nothing will read again."""
+    to = _folders.pop(df, None)
+    if to:
+        _delete(df.sparkSession, to)
+
+
+def materialize(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """spill_table() of what make() gives; the tables that were spilled on the way have been read by then and are deleted."""
+    token = _inside.set([])
+    try:
+        df = make()
+        passing = list(_inside.get())
+    finally:
+        _inside.reset(token)
+    back = spill_table(spark, df, label)
+    for folder in passing:
+        _delete(spark, folder)
+    return back
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
@@ -80,4 +117,4 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 6) else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
