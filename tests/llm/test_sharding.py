@@ -66,3 +66,12 @@ def test_a_hot_key_is_one_row_of_the_shuffle(spark):
     assert sorted(r.slot for r in out) == list(range(3000))
     few = number_slots(spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "shard int, doc_id long"), buckets=1).collect()
     assert sorted((r.shard, r.slot, r.doc_id) for r in few) == [(0, 0, 1), (0, 1, 2), (1, 0, 3)]
+
+
+def test_a_hot_row_is_cut_into_runs(spark):
+    n = 300_000
+    hot = spark.range(n).selectExpr("5L AS doc_id", "'x' AS text").unionByName(spark.range(100).selectExpr("id AS doc_id", "'y' AS text"))
+    slotted = number_slots(assign_shards(hot.selectExpr("doc_id", "length(text) AS size"), "doc_id", [1.0, 1.0]))
+    got = slotted.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == n + 100 and all(r["max(slot)"] + 1 == r["count(1)"] for r in got)
+    assert slotted.select("shard", "slot").distinct().count() == n + 100

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Slots that one row makes at most at a time.
+RUN = 4096
+
+
 def _unit(key: Column, shard: int, salt: str) -> Column:
     """A number in (0, 1) that key, shard and salt alone decide: 52 bits of an MD5 digest, so any other engine can recompute it."""
     digest = F.md5(F.concat_ws(":", F.lit(salt), F.lit(shard), F.coalesce(key.cast("string"), F.lit("\x00"))))
@@ -42,7 +46,8 @@ def number_slots(df: DataFrame, shard_col: str = "shard", order: Sequence[str] =
     Rows that agree in all columns are counted before anything is shuffled, so a key with a third of all rows is a single
     row of the shuffle. The rest are cut into `buckets` by an MD5 digest of the columns in `order`, which any engine can recompute; the number
     of rows of each bucket (at most shards times buckets rows) gives its offset, and only within a bucket are rows sorted, by `order`
-    and then the other columns. Equal rows get consecutive slots, in no particular order since nothing tells them apart.
+    and then the other columns. Equal rows get consecutive slots, in no particular order since nothing tells them apart; they are made in runs of at most
+    RUN, each a row of a last shuffle, so neither an array nor a task depends on how many rows are equal.
     """
     cols = [f"`{c}`" for c in df.columns]
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
@@ -55,8 +60,13 @@ def number_slots(df: DataFrame, shard_col: str = "shard", order: Sequence[str] =
     inner = W.partitionBy(shard, "__b").orderBy(*[f"`{c}`" for c in order], *[c for c in cols if c.strip("`") not in order])
     ranked = counted.withColumn("__end", F.sum("__n").over(inner.rowsBetween(W.unboundedPreceding, 0)))
     joined = ranked.join(offsets, ranked[shard_col].eqNullSafe(offsets["__s"]) & (ranked["__b"] == offsets["__ob"]), "left")
-    start = F.col("__offset") + F.col("__end") - F.col("__n")
-    return joined.select(*cols, F.explode(F.sequence(start, start + F.col("__n") - 1)).alias(slot_col))
+    last = F.col("__offset") + F.col("__end") - 1
+    runs = joined.select(*cols, last.alias("__last"), (last - F.col("__n") + 1).alias("__first"))
+    # A group of equal rows becomes runs of slots, and those runs of RUN slots, which are spread over all tasks before they become rows.
+    for step in (RUN * RUN, RUN):
+        runs = runs.select(*cols, "__last", F.explode(F.sequence("__first", "__last", F.lit(step))).alias("__first")).withColumn("__last", F.least("__last", F.col("__first") + step - 1))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(parts, shard, "__first").select(*cols, F.explode(F.sequence("__first", "__last")).alias(slot_col))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, *, salt: str = "treegrain") -> DataFrame:
