@@ -72,14 +72,25 @@ def test_query_against_containment(spark, medium):
     assert want and want <= got and len(got - want) <= 0.02 * len(want)
 
 
+def test_items_of_any_length_at_once(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (1, 2, 3, 4, 5, 8, 40, 200, 3000)]
+    docs = [(n, " ".join([word() for _ in range(90)] + text.split() + [word() for _ in range(90)])) for n, text in items]
+    # The same words in another order hold no short item.
+    docs += [(-n, " ".join([word() for _ in range(30)] + [f"{w} {word()}" for w in reversed(text.split())])) for n, text in items if 1 < n < 5]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(n, n) for n, _ in items}
+
+
 def test_question_alone_is_not_enough(spark):
     text = "what is the capital of the far away island state of lorem it is the old town of ipsum dolor by the sea"
-    question, answer = split_item(text)
+    question, answer, _ = split_item(text)
     docs = spark.createDataFrame([(1, " ".join(question)), (2, text), (3, " ".join(question) + " and then something else happened to everyone there")], DOCS)
     items = spark.createDataFrame([(7, text)], ITEMS)
     assert {r.doc_id for r in contaminated(docs, items, retrieve=0.4).collect()} == {2}
     own = spark.createDataFrame([(7, " ".join(question), "ipsum dolor by the sea")], "item_id long, text string, answer string")
-    assert split_item("q w", "a") == (["q", "w"], ["a"])
+    assert split_item("q w", "a")[:2] == (["q", "w"], ["a"]) and split_item("q w") == (["q", "w"], [], 5)
     assert {r.doc_id for r in contaminated(docs, own).collect()} == {2}
 
 

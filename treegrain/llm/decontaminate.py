@@ -16,13 +16,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.textblock import Words, raw, slices, span_hashes, tidy
-from treegrain.session import fresh_names, ship_code, spread
+from treegrain.session import fresh_names, ship_code, spill_table, spread
 
 K1, B = 1.2, 0.75
 #: An item is retrieved if a passage has this share of the BM25 score that the item's own text would have.
 RETRIEVE = 0.6
 #: Shares of the question's and the answer's word n-grams that the passage must hold.
 QUESTION, ANSWER, NGRAM = 0.7, 0.5, 3
+#: Items of fewer words are found only as a whole, word for word.
+WHOLE = 5
+#: Items whose lengths differ by no more than this factor share an index, and with it the length of passages; those of up to SHORTEST words share the first.
+SPREAD, SHORTEST = 4, 32
 #: Postings of a block of an inverted list, which share an upper bound.
 POSTINGS = 8
 #: Lists of at most this many items are accumulated for all passages at once; longer ones are only bounded there.
@@ -155,13 +159,18 @@ class BlockMaxIndex:
         return np.arange(len(starts)) if len(lone) else found
 
 
-def split_item(text: str | None, answer: str | None = None) -> tuple[list[str], list[str]]:
-    """Question and answer of an item; without an answer of its own, the last third of its words."""
+def split_item(text: str | None, answer: str | None = None) -> tuple[list[str], list[str], int]:
+    """Question and answer of an item, and the length of the n-grams to compare; without an answer of its own, the last third of its words.
+
+    An item of fewer than WHOLE words has no parts to speak of: all its words in order are one n-gram.
+    """
     words = tokens(text)
     if answer is not None and tokens(answer):
-        return words, tokens(answer)
+        return words, tokens(answer), NGRAM
+    if len(words) < WHOLE:
+        return words, [], WHOLE
     cut = len(words) - len(words) // 3
-    return words[:cut], words[cut:]
+    return words[:cut], words[cut:], NGRAM
 
 
 def overlap(part: list[str], grams: set[tuple], n: int = NGRAM) -> float:
@@ -174,16 +183,30 @@ def overlap(part: list[str], grams: set[tuple], n: int = NGRAM) -> float:
 
 
 def _grams(words: list[str]) -> set[tuple]:
-    return {tuple(words[i : i + k]) for k in range(1, NGRAM + 1) for i in range(len(words) - k + 1)}
+    return {tuple(words[i : i + k]) for k in range(1, WHOLE) for i in range(len(words) - k + 1)}
 
 
 FOUND = "doc_id long, th long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, passages long"
 
 
+def length_class(words: int) -> int:
+    k = 0
+    while words > SHORTEST * SPREAD**k:
+        k += 1
+    return k
+
+
 def _match(shared, retrieve: float, question: float, answer: float):
+    """Every passage asks the index; one index for each class of items' lengths, with passages of its own."""
+
+    def passages(w: Words, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.where(counts > 0, np.maximum(1, -(-(counts - step) // step)), 0)
+        doc = np.repeat(np.arange(len(counts)), n)
+        k = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+        starts = w.first[doc] + k * step
+        return doc, starts, np.minimum(starts + 2 * step, w.first[doc + 1])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, parts = shared.value
-        step = max(32, index.longest)
         for b in batches:
             names = b.schema.names
             for part in slices(b):
@@ -191,54 +214,57 @@ def _match(shared, retrieve: float, question: float, answer: float):
                 w = Words(*raw(text))
                 if not len(w):
                     continue
-                counts = np.diff(w.first)
-                n = np.where(counts > 0, np.maximum(1, -(-(counts - step) // step)), 0)
-                doc = np.repeat(np.arange(part.num_rows), n)
-                k = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-                starts = w.first[doc] + k * step
-                ends = np.minimum(starts + 2 * step, w.first[doc + 1])
-                hits: dict[tuple[int, int], list] = {}
-                data = w.data.tobytes()
-                for p in index.promising(w.hashes(), starts, ends, retrieve):
-                    words = [data[w.starts[i] : w.ends[i]].decode() for i in range(starts[p], ends[p])]
-                    found = index.search(set(words), retrieve)
-                    if not found:
-                        continue
-                    grams = _grams(words)
-                    for item, score in found:
-                        q, a = (overlap(x, grams) for x in parts[item])
-                        if q >= question and a >= answer:
-                            d = int(doc[p])
-                            h = hits.setdefault((d, item), [0.0, 0.0, 0.0, int(starts[p] - w.first[d]), 0])
-                            h[:3] = max(h[0], score), max(h[1], q), max(h[2], a)
-                            h[4] += 1
+                counts, hashes, data = np.diff(w.first), w.hashes(), w.data.tobytes()
+                hits: dict[tuple[int, int, int], list] = {}
+                for kind, (index, _, parts) in enumerate(shared.value):
+                    doc, starts, ends = passages(w, counts, max(SHORTEST, index.longest))
+                    for p in index.promising(hashes, starts, ends, retrieve):
+                        words = [data[w.starts[i] : w.ends[i]].decode() for i in range(starts[p], ends[p])]
+                        found = index.search(set(words), retrieve)
+                        if not found:
+                            continue
+                        grams = _grams(words)
+                        for item, score in found:
+                            *sides, n = parts[item]
+                            q, a = (overlap(x, grams, n) for x in sides)
+                            if q >= question and a >= answer:
+                                d = int(doc[p])
+                                h = hits.setdefault((d, kind, item), [0.0, 0.0, 0.0, int(starts[p] - w.first[d]), 0])
+                                h[:3] = max(h[0], score), max(h[1], q), max(h[2], a)
+                                h[4] += 1
                 if hits:
                     did, th = part.column(names.index("doc_id")).to_pylist(), part.column(names.index("th")).to_pylist()
-                    rows = [(did[d], th[d], ids[item], *h) for (d, item), h in hits.items()]
+                    rows = [(did[d], th[d], shared.value[kind][1][item], *h) for (d, kind, item), h in hits.items()]
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return each
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER, min_words: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and test item that it holds: doc_id, th (hash of the text), item_id, best score and overlaps, place of the first passage, number of passages.
 
-    Documents are cut into passages of twice the longest item's words, each overlapping the next by half, so any item that
+    Documents are cut into passages of twice the words of the longest item (of those of like length), each overlapping the next by half, so any item that
     occurs in a document lies whole in some passage. All passages are queries. An item (item_id, text, optionally answer) is retrieved if the
     passage reaches the share `retrieve` of the item's own BM25 score, and reported if enough word n-grams of its question and of its
-    answer (without one: the last third) are in the passage. Case and white space do not matter.
+    answer (without one: the last third) are in the passage. Items of any length count; one of fewer than WHOLE words must occur word for word. Case and white space do not matter.
 
-    Null and empty texts hold no item; null, empty and very short items (under min_words words) are in no document; equal rows of items count once; repeated
-    documents are reported each; a null doc_id stays null; empty tables give no rows; other columns are ignored. The index is
-    broadcast, at most `index_bytes` of item text at a time: a larger benchmark is matched in parts, with statistics of the whole.
+    Null and empty texts hold no item; null and empty items are in no document; equal rows of items count once; repeated
+    documents are reported each; a null doc_id stays null; empty tables give no rows; other columns are ignored. Indexes are
+    broadcast, at most `index_bytes` of item text at a time: a larger benchmark is matched in parts, with statistics of the whole, and
+    what a part found is written out before the next part's indexes take its place.
     """
     spark = docs.sparkSession
     ship_code(spark)
+
+    def split(s):
+        import pandas as pd
+
+        return pd.Series([tokens(t) for t in s])
+
     own = ["item_id", "text"] + (["answer"] if "answer" in benchmark.columns else [])
     items = benchmark.select(*own).where("text is not null").distinct()
-    split = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    items = items.withColumn("__words", split).where(F.size("__words") >= min_words)
+    items = items.withColumn("__words", F.pandas_udf(split, "array<string>")("text")).where(F.size("__words") > 0)
     total = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__words")).alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
     parts = max(1, math.ceil((total["bytes"] or 0) / index_bytes))
     frequency = items.select(F.explode(F.array_distinct("__words")).alias("term")).groupBy("term").count()
@@ -248,9 +274,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, retrieve: float = RET
         mine = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else items
         terms = frequency if parts == 1 else frequency.join(mine.select(F.explode("__words").alias("term")).distinct(), "term", "left_semi")
         chosen = sorted((tuple(r) for r in mine.select(*own).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        index = BlockMaxIndex([tokens(r[1]) for r in chosen], Statistics(total["n"], float(total["mean"] or 0), {r["term"]: r["count"] for r in terms.collect()}))
-        shared = spark.sparkContext.broadcast((index, [r[0] for r in chosen], [split_item(*r[1:]) for r in chosen]))
+        stats = Statistics(total["n"], float(total["mean"] or 0), {r["term"]: r["count"] for r in terms.collect()})
+        classes: dict[int, list] = {}
+        for r in chosen:
+            classes.setdefault(length_class(len(tokens(r[1]))), []).append(r)
+        shared = spark.sparkContext.broadcast([(BlockMaxIndex([tokens(r[1]) for r in rs], stats), [r[0] for r in rs], [split_item(*r[1:]) for r in rs]) for _, rs in sorted(classes.items())])
         found = spread(rows).mapInArrow(tidy(_match(shared, retrieve, question, answer)), FOUND)
+        if parts > 1:
+            found = spill_table(spark, found, "contaminated")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
