@@ -1,11 +1,14 @@
 import html
 import itertools
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from treegrain.llm.htmlcut import extract, extract_pages, minimum_cut
+import numpy as np
+
+from treegrain.llm.htmlcut import PRIOR, blocks_of, costs, edges_of, extract, extract_pages, features, fit, minimum_cut, train
 from treegrain.llm.queries import op8_html_extraction
 
 
@@ -25,9 +28,59 @@ def test_query_against_the_article_element(spark, small):
     rows = op8_html_extraction(spark, small).collect()
     assert len(rows) == len(pages)
     for r in rows:
-        inner = re.search(r"(?s)<article>(.*?)(?:</article>|<footer|$)", pages[r.page_id].html)[1]
-        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?(?:p|h1)[^>]*>", inner))
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+        assert r.text == article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def article(page):
+    inner = re.search(r"(?s)<article>(.*?)(?:</article>|<footer|$)", page)[1]
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?(?:p|h1)[^>]*>", inner))
+    return "\n".join(p for p in parts if p)
+
+
+def f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+NAMES = re.compile(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""")
+TAGS = re.compile(r"<(/?)(nav|article|footer|main|aside|header)\b[^>]*>")
+
+
+def test_pages_without_names_and_without_telling_tags(spark, medium):
+    table = spark.read.parquet(f"{medium}/pages.parquet")
+    pages, weights, overruled = [r.html for r in table.collect()], fit(table), 0
+    assert not np.array_equal(weights, PRIOR)
+    bare = [NAMES.sub("", p) for p in pages]
+    assert np.mean([f1(extract(b, weights), article(p)) for b, p in zip(bare, pages)]) >= 0.98
+    plain = [TAGS.sub(r"<\1div>", b) for b in bare]
+    assert np.mean([f1(extract(b, weights), article(p)) for b, p in zip(plain, pages)]) >= 0.95
+    for page in plain:
+        blocks, has_centre = blocks_of(page)
+        source, sink = costs(features(blocks, has_centre), weights)
+        overruled += sum(side != (a > b) for side, a, b in zip(minimum_cut(source, sink, edges_of(blocks)), source, sink))
+    assert overruled > 0
+
+
+def test_training():
+    assert np.array_equal(train(np.zeros((0, len(PRIOR)))), PRIOR)
+    rows = np.zeros((2000, len(PRIOR)))
+    rows[:, 0] = 1
+    rows[:1000, 13], rows[:1000, 6] = 4, 0  # boilerplate by its tags
+    rows[1000:, 11], rows[1000:, 6] = 1, 1  # content that is made of list items
+    assert train(rows)[6] > 0 > PRIOR[6] and np.array_equal(train(rows)[10:], PRIOR[10:])
+    assert np.array_equal(train(rows[:1000]), PRIOR)
+
+
+def test_depth_costs_nothing():
+    import time
+
+    for piece in ("<div>x", "<b>x</i></div>", "<li><span>x"):
+        took = []
+        for n in (4000, 16_000):
+            began = time.perf_counter()
+            extract(piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0]
 
 
 LONG = "This is a sentence that is long enough to count as running text of an article, with a full stop."
@@ -44,6 +97,9 @@ LONG = "This is a sentence that is long enough to count as running text of an ar
         (f"<div class='cookie-notice'>We use cookies.</div><p>{LONG}</p><p>{LONG}</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul>", f"{LONG}\n{LONG}"),
         (f"<article><p>a\n  b<br>c</p><script>if (a<b) '</p>'</script><style>p{{}}</style><!-- <p>no --><p>d<b>e</b>f &lt;x&gt; &#233;<p hidden>no</article>", "a b c\ndef <x> é"),
         (f"<article><p title='a>b'>{LONG}</p><p>unclosed <i>markup", f"{LONG}\nunclosed markup"),
+        (f"<article><header><h1>Title</h1><p>{LONG}</p></header><p>{LONG}</p></article><header><a href=x>Site</a></header>", f"Title\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section><div class='ad-hoc-analysis'><p>{LONG}</p></div></article>", f"{LONG}\nRelated work\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG} <math><mi>x</mi></math></p><!--><p>{LONG}</p><!-- no --></article>", f"{LONG} x\n{LONG}"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1\n2\n3"),
     ],
 )
