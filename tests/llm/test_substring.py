@@ -55,6 +55,16 @@ def test_matching_statistics():
         assert index.matching_statistics(ends, 9).tolist() == want
 
 
+def test_sequences_that_stand_for_several():
+    rng = np.random.default_rng(6)
+    sequences, weights = [rng.integers(1, 4, n) for n in (20, 15, 30)], [1, 3, 2]
+    index, plain = FMIndex(sequences, weights), FMIndex([s for s, w in zip(sequences, weights) for _ in range(w)])
+    for k, s in enumerate(sequences):
+        ends = np.arange(len(s))
+        for least in (2, 3, 5):
+            assert index.matching_statistics(ends + index.starts[k], 9, least).tolist() == plain.matching_statistics(ends + plain.starts[sum(weights[:k])], 9, least).tolist()
+
+
 def noisy(seed, n_docs, window):
     """Texts of few words with shared runs, repeats within a text, copies, white space of all kinds."""
     rng = random.Random(seed)
@@ -73,9 +83,9 @@ def noisy(seed, n_docs, window):
 
 
 def test_against_brute_force(spark):
-    for seed, window, crowd in ((1, 35, 2000), (2, 10, 2000), (3, 10, 1), (4, 35, 1)):
+    for seed, window, key_words in ((1, 35, 150_000), (2, 10, 150_000), (3, 10, 1), (4, 35, 60)):
         rows = noisy(seed, 60, window)
-        check(spark.createDataFrame(rows, DOCS), rows, window=window, crowd=crowd, shard_words=300)
+        check(spark.createDataFrame(rows, DOCS), rows, window=window, key_words=key_words, shard_words=300)
 
 
 def test_query_against_brute_force(spark, small):

@@ -66,9 +66,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of symbols (1 and up), each followed by a separator that no pattern holds."""
+    """Index of sequences of symbols (1 and up), each followed by a separator that no pattern holds. A sequence may stand for several equal ones (weights)."""
 
-    def __init__(self, sequences: list[np.ndarray]):
+    def __init__(self, sequences: list[np.ndarray], weights: list[int] | None = None):
         self.starts = np.cumsum([0, *(len(s) + 1 for s in sequences)])
         text = np.zeros(int(self.starts[-1]) + 1, np.int64)
         for s, at in zip(sequences, self.starts):
@@ -76,6 +76,9 @@ class FMIndex:
             text[at + len(s)] = 1
         self.text = text
         order = suffix_array(text)
+        # Occurrences of an interval's pattern: of each suffix, as many as the sequences that it stands for.
+        times = np.append(np.repeat(np.ones(len(sequences), np.int64) if weights is None else np.asarray(weights, np.int64), np.diff(self.starts)), 0)
+        self.times = np.append(0, np.cumsum(times[order]))
         self.wavelet = WaveletMatrix(text[order - 1])
         self.below = np.zeros(int(text.max(initial=0)) + 2, np.int64)
         np.cumsum(np.bincount(text, minlength=len(self.below) - 1), out=self.below[1:])
@@ -83,7 +86,7 @@ class FMIndex:
     def matching_statistics(self, ends: np.ndarray, most: int, occurrences: int = 2) -> np.ndarray:
         """For each place of the indexed text, the length (up to `most`) of the longest run of symbols ending there that occurs so often in the index.
 
-        All places go back symbol by symbol together; one leaves when its interval has become too small.
+        All places go back symbol by symbol together; one leaves when its interval stands for too few occurrences.
         """
         length = np.zeros(len(ends), np.int64)
         active, at = np.arange(len(ends)), ends.copy()
@@ -93,7 +96,7 @@ class FMIndex:
             a, b = self.wavelet.rank(symbol, lo, hi)
             base = self.below[symbol]
             lo, hi = base + a, base + b
-            go = (hi - lo >= occurrences) & (symbol > 1)
+            go = (self.times[hi] - self.times[lo] >= occurrences) & (symbol > 1)
             active, at, lo, hi = active[go], at[go] - 1, lo[go], hi[go]
             if not len(active):
                 break

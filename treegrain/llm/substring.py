@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.fmindex import FMIndex
 from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, tidy, word_prefix
-from treegrain.session import fresh_names, ship_code, spill_table, spread
+from treegrain.session import discard, fresh_names, ship_code, spill_table, spread
 
 WINDOW = 35
-#: Words of the n-grams among which each window's smallest hash, its key, is found.
-ANCHOR = 6
+#: Words of the n-grams among which each window's smallest hash, its key, is found; the longer ones split keys that have too much under them.
+ANCHORS = (6, 12, 24)
 #: Words that one FM-index holds at least, if its partition has so many (a key's segments stay together).
 SHARD_WORDS = 150_000
-#: Distinct segments of one key that an index takes; the windows of keys with more are counted by hash, over all tasks.
-CROWD = 2000
+#: Distinct words under one key that an index takes; a key with more is split.
+KEY_WORDS = 150_000
 _NULL = -(1 << 63)
 
 
@@ -28,18 +28,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-SEGMENTS = "key long, content long, did long, th long, place long, inner boolean"
+SEGMENTS = "key long, content long, a long, b long, place long, inner boolean, n long"
 _START_BITS = 31
+_LENGTH = (1 << _START_BITS) - 1
 
 
 def _segments(window: int, anchor: int):
-    """Maximal runs of windows of one document with the same key. Equal windows have equal keys, wherever they are."""
+    """Maximal runs of windows of one text with the same key; with anchors as long as windows, single windows. Equal windows have equal keys, wherever they are."""
     span = window - anchor + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            for part in slices(b):
+        for batch in batches:
+            names = batch.schema.names
+            for part in slices(batch):
                 w = Words(*raw(part.column(names.index("text"))))
                 if len(w) < window:
                     continue
@@ -48,7 +49,8 @@ def _segments(window: int, anchor: int):
                 keys = sliding_min(grams, span)
                 valid = w.doc[: len(keys)] == w.doc[window - 1 :]
                 change = np.ones(len(keys), bool)
-                change[1:] = (keys[1:] != keys[:-1]) | (w.doc[1 : len(keys)] != w.doc[: len(keys) - 1]) | ~valid[:-1]
+                if span > 1:
+                    change[1:] = (keys[1:] != keys[:-1]) | (w.doc[1 : len(keys)] != w.doc[: len(keys) - 1]) | ~valid[:-1]
                 starts = np.flatnonzero(change & valid)
                 if not len(starts):
                     continue
@@ -63,130 +65,127 @@ def _segments(window: int, anchor: int):
                 doc = w.doc[starts]
                 content = sequence_hashes(word_prefix(h), starts, ends)
                 place = (starts - w.first[doc]) << _START_BITS | (ends - starts)
-                column = lambda c: part.column(names.index(c)).to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), pa.array(column("did")), pa.array(column("th")), pa.array(place), pa.array(hits > 1)], names=["key", "content", "did", "th", "place", "inner"])
+                column = lambda c: pa.array(part.column(names.index(c)).to_numpy()[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), column("a"), column("b"), pa.array(place), pa.array(hits > 1), column("n")], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
     return each
 
 
+CONTENTS = "key long, content long, n long, words binary"
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted segment, joined by one space."""
-    for b in batches:
+    """The words of each wanted segment, joined by one space. Of equal texts that follow each other the first answers."""
+    before = None
+    for batch in batches:
         out = []
-        names = b.schema.names
-        texts, wanted = b.column(names.index("text")), b.column(names.index("wanted"))
-        for i in range(b.num_rows):
+        a, b, texts, wanted = (batch.column(batch.schema.names.index(c)) for c in ("a", "b", "text", "wanted"))
+        for i, key in enumerate(zip(a.to_pylist(), b.to_pylist())):
+            if key == before:
+                continue
+            before = key
             data, at = raw(texts.slice(i, 1))
             w, data = Words(data, at), data.tobytes()
             for s in wanted[i].as_py():
-                start, n = s["place"] >> _START_BITS, s["place"] & (1 << _START_BITS) - 1
-                words = b" ".join(data[w.starts[k] : w.ends[k]] for k in range(start, start + n))
-                out.append((s["key"], s["did"], s["th"], start, s["once"], words))
+                start, n = s["place"] >> _START_BITS, s["place"] & _LENGTH
+                out.append((s["key"], s["content"], s["n"], b" ".join(data[w.starts[k] : w.ends[k]] for k in range(start, start + n))))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "did", "th", "start", "once", "words"])
-
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "content", "n", "words"])
 
-INTERVALS = "did long, th long, s long, e long"
 
-
-def _intervals(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["did", "th", "s", "e"])
+MATCHES = "key long, content long, s long, e long"
 
 
 def _search(window: int, shard_words: int):
-    """Index the distinct segments of a shard and stream them through it; report what matches elsewhere over at least a window. Rows come sorted by key."""
+    """Index the distinct segments of a shard, each with the number of its places, and stream them through: where at least a window matches that has another place too.
+
+    Rows come sorted by key and content.
+    """
 
     def shard(rows: list[tuple]) -> list[tuple]:
         names: dict[bytes, int] = {}
-        sequences = [np.array([names.setdefault(x, len(names) + 1) for x in r[4].split(b" ")], np.int64) for r in rows]
-        index = FMIndex(sequences)
-        asked = [k for k, r in enumerate(rows) if r[3]]
-        if not asked:
-            return []
-        ends = np.concatenate([np.arange(window - 1, len(sequences[k])) + index.starts[k] for k in asked])
-        of = np.repeat(asked, [len(sequences[k]) - window + 1 for k in asked])
-        found = index.matching_statistics(ends, window) >= window
-        out = []
-        for k, last in zip(of[found], ends[found] - index.starts[of[found]]):
-            s, e = rows[k][2] + int(last) - window + 1, rows[k][2] + int(last) + 1
-            if out and out[-1][0] == rows[k][0] and out[-1][1] == rows[k][1] and out[-1][2] <= s <= out[-1][3]:
-                out[-1] = (*out[-1][:3], e)
-            else:
-                out.append((rows[k][0], rows[k][1], s, e))
-        return out
+        sequences = [np.array([names.setdefault(x, len(names) + 1) for x in r[3].split(b" ")], np.int64) for r in rows]
+        index = FMIndex(sequences, [r[2] for r in rows])
+        lengths = np.array([len(s) for s in sequences])
+        n = lengths - window + 1
+        of = np.repeat(np.arange(len(rows)), n)
+        first = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+        found = index.matching_statistics(index.starts[of] + first + window - 1, window) >= window
+        of, first = of[found], first[found]
+        # Windows that follow each other or overlap are one interval.
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (first[1:] > first[:-1] + window)
+        last = np.append(np.flatnonzero(new)[1:], len(of)) - 1
+        return [(*rows[k][:2], int(s), int(e) + window) for k, s, e in zip(of[new], first[new], first[last])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, key, out = [], 0, None, []
+        rows, size, out = [], 0, []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "content", "s", "e"])
         for b in batches:
-            for k, did, th, start, once, words in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("key", "did", "th", "start", "once", "words"))):
-                if k != key and size > shard_words:
+            for row in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("key", "content", "n", "words"))):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
+                if rows and row[0] != rows[-1][0] and size > shard_words:
                     out += shard(rows)
                     rows, size = [], 0
-                key = k
-                rows.append((did, th, start, once, words))
-                size += words.count(b" ") + 1
+                rows.append(row)
+                size += row[3].count(b" ") + 1
             if len(out) > 10_000:
-                yield _intervals(out)
+                yield pack()
                 out = []
         if rows:
             out += shard(rows)
         if out:
-            yield _intervals(out)
+            yield pack()
 
     return each
 
 
-def _windows(window: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            for part in slices(b, "words"):
-                w = Words(*raw(part.column(names.index("words"))))
-                running = word_prefix(w.hashes())
-                at = np.arange(max(0, len(w) - window + 1))
-                at = at[w.doc[at] == w.doc[at + window - 1]]
-                doc = w.doc[at]
-                column = lambda c: part.column(names.index(c)).to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(sequence_hashes(running, at, at + window, seed))) for seed in (0, 0x5851F42D4C957F2D)] + [pa.array(column("did")), pa.array(column("th")), pa.array(column("start") + at - w.first[doc]), pa.array(column("once"))],
-                    names=["w1", "w2", "did", "th", "s", "once"],
-                )
-
-    return each
-
-
-def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, crowd: int = CROWD) -> DataFrame:
+def _matches(base: DataFrame, window: int, anchors: tuple[int, ...], shard_words: int, key_words: int) -> DataFrame:
+    """(a, b, s, e): intervals of words of each text (a, b, n, text; n: how many texts it stands for) that lie in windows with another place."""
+    spark = base.sparkSession
+    every = spill_table(spark, base.mapInArrow(tidy(_segments(window, anchors[0])), SEGMENTS), "segments")
+    twice = every.groupBy("key").agg(F.sum("n").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
+    segments = spill_table(spark, every.join(twice, "key", "left_semi"), "repeated-segments")
+    discard(every)
+    kinds = segments.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("row"))
+    large = kinds.groupBy("key").agg(F.sum(F.col("row.place").bitwiseAND(_LENGTH)).alias("words")).where(F.col("words") > key_words).select("key", F.lit(True).alias("large"))
+    split = len(anchors) > 1
+    if split:
+        kinds = spill_table(spark, kinds.join(large, "key", "left"), "contents")
+        split = kinds.where("large").limit(1).count() > 0
+    texts = base.select("a", "b", "text").repartition("a", "b")
+
+    def contents(rows: DataFrame) -> DataFrame:
+        asked = rows.select("row.*", "key", "content", "n").groupBy("a", "b").agg(F.collect_list(F.struct("key", "content", "n", "place")).alias("wanted"))
+        return texts.join(asked, ["a", "b"]).mapInArrow(tidy(_contents), CONTENTS)
+
+    found = contents(kinds.where("large is null") if split else kinds).repartition("key").sortWithinPartitions("key", "content").mapInArrow(tidy(_search(window, shard_words)), MATCHES)
+    if split:
+        deeper = contents(kinds.where("large")).dropDuplicates(["key", "content"])
+        deeper = spill_table(spark, deeper.select(F.col("key").alias("a"), F.col("content").alias("b"), "n", F.col("words").alias("text")), "split")
+        found = found.unionByName(_matches(deeper, window, anchors[1:], shard_words, key_words).select(F.col("a").alias("key"), F.col("b").alias("content"), "s", "e"))
+    start = F.shiftright("place", _START_BITS)
+    return segments.join(found, ["key", "content"]).select("a", "b", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
+
+
+def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchors: tuple[int, ...] = ANCHORS, shard_words: int = SHARD_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
     """did, th, spans (array of word intervals): the words of each document that lie in a window which also starts elsewhere.
 
-    Every window has a key, the smallest hash among its n-grams of `anchor` words, and runs of windows with one key are segments: all places of a window are in
-    segments of one key, so keys are shards that need no other. A segment whose whole content is found twice is settled by counting. The
-    distinct segments of the keys that remain are brought to their shards, indexed and searched there: work follows the repetition in
-    the corpus, not shards times documents. Keys with more than `crowd` distinct segments (a short line in very many contexts) are settled window by
-    window with counts of 128-bit hashes, which spread over all tasks.
+    Every window has a key, the smallest hash among its n-grams of a few words, and runs of windows with one key are segments: all places of a window are in
+    segments of one key, so keys are shards that need no other. Segments whose key is at one place only are let go. The rest's distinct contents, with the number of
+    their places, are brought to their shards, indexed there and streamed through the index; what matches over a window at two places or more is reported for every place.
+
+    A key with more than key_words distinct words (a short line in very many contexts, a text that repeats itself) is split: its contents are cut again by keys
+    from longer n-grams, in the end by whole windows, each a key of its own, whose places are counted before their words are touched. So an index is bounded, and no window is given up.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    all_segments = spill_table(spark, spread(keyed(docs)).mapInArrow(tidy(_segments(window, anchor)), SEGMENTS), "segments")
-    twice = all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
-    segments = spill_table(spark, all_segments.join(twice, "key", "left_semi"), "repeated-segments")
-    kinds = segments.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.min(F.struct("did", "th", "place")).alias("row"))
-    keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if((F.col("n") == 1) & F.col("inner")).alias("inner_once"), F.count_if(F.col("n") == 1).alias("once"))
-    open_keys = keys.where("inner_once > 0 or kinds > 1 and once > 0").select("key", (F.col("kinds") > crowd).alias("crowded"))
-    wanted = kinds.join(open_keys, "key").select("row.*", "key", "crowded", (F.col("n") == 1).alias("once"))
-    texts = keyed(docs).repartition("did", "th")
-    asked = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("key", "did", "th", "place", "once", "crowded")).alias("wanted"))
-    # Rows that are equal in doc_id and text would all answer; one suffices, and more would be copies of what was counted already.
-    found = texts.join(asked, ["did", "th"])
-    of = lambda crowded: found.select("text", F.filter("wanted", (lambda x: x["crowded"]) if crowded else (lambda x: ~x["crowded"])).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(tidy(_contents), "key long, did long, th long, start long, once boolean, words binary")
-    searched = of(False).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_search(window, shard_words)), INTERVALS)
-    whole = segments.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi")
-    whole = whole.select("did", "th", F.shiftright("place", _START_BITS).alias("s"), (F.shiftright("place", _START_BITS) + F.col("place").bitwiseAND((1 << _START_BITS) - 1)).alias("e"))
-    windows = of(True).mapInArrow(_windows(window), "w1 long, w2 long, did long, th long, s long, once boolean")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    crowded = windows.where("once").join(again, ["w1", "w2"], "left_semi").select("did", "th", "s", (F.col("s") + window).alias("e"))
-    every = searched.unionByName(whole).unionByName(crowded).distinct()
-    return every.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    base = spread(keyed(docs)).select(F.col("did").alias("a"), F.col("th").alias("b"), F.lit(1).cast("long").alias("n"), "text")
+    steps = (*[a for a in anchors if a < window], window)
+    every = _matches(base, window, steps, shard_words, key_words).distinct()
+    return every.groupBy(F.col("a").alias("did"), F.col("b").alias("th")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 CUT = "doc_id long, did long, th long, n_words long, n_removed long, kept_sha256 string, kept string"
