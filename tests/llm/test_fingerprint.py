@@ -3,7 +3,7 @@ import random
 
 import pyarrow as pa
 
-from treegrain.llm.fingerprint import build, edit_test, encode, fingerprint, likeness, locate_edits
+from treegrain.llm.fingerprint import build, decode, edit_test, encode, fingerprint, likeness, locate_edits, verify
 from treegrain.llm.queries import op2_merkle_fingerprints
 from treegrain.llm.textblock import raw
 
@@ -62,14 +62,54 @@ def test_roots_sections_and_edits():
     text = "\n".join(" ".join(random.choice(words) + str(random.randrange(99)) for _ in range(40)) for _ in range(30))
     at = text.index("\n", 3000) + 5
     new = text[:at] + "INSERTED" + text[at:]
-    spans = locate_edits(text, new)
+    spans = locate_edits(of(text), of(new))
     assert spans and all(abs(a - at) < 300 and abs(b - at) < 300 for a, b in spans) and any(a <= at < b for a, b in spans)
-    assert locate_edits(text, text) == []
+    assert locate_edits(of(text), of(text)) == []
     assert 0.9 < likeness(of(text), of(new)) < 1
-    assert of(text) == of(text) and of(text).split(".")[0] == hashlib.sha256(text.encode()).hexdigest()
+    assert of(text) == of(text) and of(text).split(".")[0] != of(new).split(".")[0]
     assert likeness(of("a b"), of("a  b")) < 1
 
 
+def test_the_root_commits_to_every_branch():
+    text = "# One\nalpha beta gamma\ndelta é\n\n# Two\n" + "word " * 300 + "\nlast line"
+    root, sections, paragraphs, blocks = decode(of(text))
+    assert verify(of(text)) and verify(of("")) and verify(of("x"))
+    # Paragraphs by hand: the digests below the root are those of the text's lines.
+    lines = [x.encode() for x in text.splitlines(keepends=True)]
+    assert [bytes(p) for p in paragraphs["digest"]] == [hashlib.sha256(b"paragraph" + x).digest()[:16] for x in lines]
+    at, above = 0, b""
+    for s in sections:
+        own = b"".join(bytes(p) for p in paragraphs["digest"][at : at + s["children"]])
+        assert bytes(s["digest"]) == hashlib.sha256(b"section" + own).digest()[:16]
+        above, at = above + bytes(s["digest"]), at + int(s["children"])
+    assert root == hashlib.sha256(b"root" + above).hexdigest() and at == len(lines)
+    assert int(blocks["size"].sum()) == len(text.encode())
+    # A digit changed in any section or paragraph digest doesn't go unnoticed.
+    parts = of(text).split(".")
+    for level, width in ((1, 40), (2, 40)):
+        for k in range(0, len(parts[level]), width):
+            forged = list(parts)
+            forged[level] = parts[level][:k] + ("1" if parts[level][k] != "1" else "2") + parts[level][k + 1 :]
+            assert not verify(".".join(forged))
+
+
+def test_edits_are_located_without_the_texts():
+    rng = random.Random(9)
+    for _ in range(40):
+        lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 40))]
+        k = rng.randrange(len(lines))
+        changed = [*lines[:k], lines[k] + " entirely new words here", *lines[k + 1 :]]
+        old, new = "\n".join(lines), "\n".join(changed)
+        at = len("\n".join(changed[: k + 1]).encode()) - len(" entirely new words here")
+        spans = locate_edits(of(old), of(new))
+        assert any(a <= at + 5 < b for a, b in spans) and all(a >= at - 100 and b <= at + 200 for a, b in spans)
+
+
+def test_very_long_text():
+    text = "".join(f"line {i} of a very long text\n" for i in range(60_000)) + "x" * 1_000_000
+    assert verify(of(text)) and 0.99 < likeness(of(text), of(text + "y")) < 1
+
+
 def test_column(spark):
     rows = fingerprint(spark.createDataFrame([(1, "x y", "old"), (2, None, "old")], "doc_id long, text string, fingerprint string")).collect()
     assert [r.fingerprint for r in rows] == [of("x y"), of("")]

@@ -1,4 +1,4 @@
-"""Merkle fingerprints of documents: section, paragraph and block digests under one root."""
+"""Merkle fingerprints of documents: a root over section digests over paragraph digests, and hashes of blocks within paragraphs."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treegrain.llm.textblock import SLICE_BYTES, mix, prefix, raw, span_hashes, tidy
+from treegrain.llm.textblock import SLICE_BYTES, prefix, raw, span_hashes, tidy
 from treegrain.session import ship_code, spread
 
 #: A block ends after a word whose hash falls into one of this many residues, or at the end of its paragraph.
@@ -19,49 +19,56 @@ BLOCK_WORDS = 4
 SECTION_PARAGRAPHS = 4
 #: Long words count as several, of this many bytes each; a block ends after this many words at the latest (words that repeat choose no place).
 PIECE_BYTES, BLOCK_MOST = 8, 8
-_HEX = np.array([f"{i:02x}".encode() for i in range(256)], "S2")
+
+
+#: Bytes of a digest of a paragraph or section.
+DIGEST = 16
+_BLOCK = np.dtype([("hash", ">u4"), ("size", "u1")])
+_INNER = np.dtype([("digest", "u1", DIGEST), ("children", ">u4")])
 
 
 @dataclass
 class Trees:
-    """The trees of a run of documents, level by level. Each level's spans are bytes of the joined texts; *_of gives the parent's number."""
+    """The trees of a run of documents, level by level: digests, and how many nodes of the level below each covers (blocks: how many bytes). *_first: where each document's begin."""
 
     roots: list[str]
     blocks: np.ndarray
-    block_spans: np.ndarray
     block_first: np.ndarray
     paragraphs: np.ndarray
-    paragraph_spans: np.ndarray
     paragraph_first: np.ndarray
     sections: np.ndarray
-    section_spans: np.ndarray
     section_first: np.ndarray
 
 
-def _fold(children: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
-    """Digest of each parent from its children's digests, in order."""
-    if len(first) == 0:
-        return np.zeros(0, np.uint64)
-    position = np.arange(len(children)) - np.repeat(first, np.diff(np.append(first, len(children))))
-    salted = mix(children + mix(position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)))
-    sums = np.add.reduceat(salted, first) if len(children) else np.zeros(len(first), np.uint64)
-    counts = np.diff(np.append(first, len(children))).astype(np.uint64)
-    return mix(sums + counts * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level))
+def _digests(tag: bytes, data, bounds: np.ndarray) -> np.ndarray:
+    """SHA-256 of each span, cut to DIGEST bytes; the tag keeps levels apart."""
+    view, start = memoryview(data), hashlib.sha256(tag)
+    out = bytearray()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        h = start.copy()
+        h.update(view[a:b])
+        out += h.digest()[:DIGEST]
+    return np.frombuffer(bytes(out), np.uint8).reshape(-1, DIGEST)
+
+
+def _inner(digests: np.ndarray, children: np.ndarray) -> np.ndarray:
+    out = np.empty(len(digests), _INNER)
+    out["digest"], out["children"] = digests, children
+    return out
 
 
 def build(data: np.ndarray, offsets: np.ndarray) -> Trees:
-    """Trees of all documents in one pass over their bytes. Spans cover every byte, white space included, so equal roots mean equal texts.
+    """Trees of all documents in one pass over their bytes. Every byte belongs to a paragraph, white space included.
 
-    Paragraphs end after each newline. Paragraphs are cut into blocks of a few words at places that the words themselves choose,
-    so an insertion disturbs only the blocks around it. Sections group paragraphs: an empty line or a heading (`#`) starts a new
-    one, and so does the content of the paragraph before, about every fourth time.
+    A paragraph ends after each newline; its digest is that of its bytes. A section's digest is that of its paragraphs' digests, a root that of its sections'
+    digests, so equal roots mean equal texts, and a root commits to every branch below it. Sections group paragraphs: an empty line or a heading (`#`) starts a new
+    one, and so does the content of the paragraph before, about every fourth time. Under the paragraphs are blocks of a few words, cut at places
+    that the words themselves choose, so an insertion disturbs only the blocks around it; short hashes of them serve to compare and to find places, not to prove.
     """
     n, docs = len(data), len(offsets) - 1
-    digests = [hashlib.sha256(data[offsets[i] : offsets[i + 1]]).hexdigest() for i in range(docs)]
-    none = np.zeros(0, np.uint64)
     if n == 0:
-        z, f = np.zeros((0, 2), np.int64), np.zeros(docs + 1, np.int64)
-        return Trees(digests, none, z, f, none, z, f, none, z, f)
+        f = np.zeros(docs + 1, np.int64)
+        return Trees([hashlib.sha256(b"root").hexdigest()] * docs, np.zeros(0, _BLOCK), f, np.zeros(0, _INNER), f, np.zeros(0, _INNER), f)
     newline, space = data == 10, data == 32
     doc_ends = offsets[1:][np.diff(offsets) > 0]
     paragraph_end = newline.copy()
@@ -78,19 +85,21 @@ def build(data: np.ndarray, offsets: np.ndarray) -> Trees:
     _every(cut, BLOCK_MOST)
     b_ends = w_ends[cut]
     b_starts = np.append(0, b_ends[:-1])
-    blocks = span_hashes(data, b_starts, b_ends, running)
-    b_first = np.searchsorted(b_starts, p_starts)
-    paragraphs = _fold(blocks, b_first, 1)
+    blocks = np.empty(len(b_ends), _BLOCK)
+    blocks["hash"], blocks["size"] = span_hashes(data, b_starts, b_ends, running) & np.uint64(0xFFFFFFFF), b_ends - b_starts
+    digests = _digests(b"paragraph", np.ascontiguousarray(data), np.append(p_starts, n))
+    b_first = np.searchsorted(b_starts, np.append(p_starts, n))
+    paragraphs = _inner(digests, np.diff(b_first))
     doc_of_p = np.searchsorted(offsets, p_starts, "right") - 1
     empty = (p_ends - p_starts == 1) & (data[p_starts] == 10)
     starts_section = np.ones(len(p_starts), bool)
-    starts_section[1:] = (doc_of_p[1:] != doc_of_p[:-1]) | empty[:-1] & ~empty[1:] | (data[p_starts[1:]] == 35) | (paragraphs[:-1] % np.uint64(SECTION_PARAGRAPHS) == 0)
-    s_first = np.flatnonzero(starts_section)
-    s_starts = p_starts[s_first]
-    s_ends = np.append(s_starts[1:], n)
-    sections = _fold(paragraphs, s_first, 2)
-    span = lambda a, b: np.stack([a, b], 1)
-    return Trees(digests, blocks, span(b_starts, b_ends), np.searchsorted(b_starts, offsets), paragraphs, span(p_starts, p_ends), np.searchsorted(p_starts, offsets), sections, span(s_starts, s_ends), np.searchsorted(s_starts, offsets))
+    starts_section[1:] = (doc_of_p[1:] != doc_of_p[:-1]) | empty[:-1] & ~empty[1:] | (data[p_starts[1:]] == 35) | (digests[:-1, 0] % SECTION_PARAGRAPHS == 0)
+    s_first = np.append(np.flatnonzero(starts_section), len(p_starts))
+    sections = _inner(_digests(b"section", digests.tobytes(), s_first * DIGEST), np.diff(s_first))
+    of_docs = np.searchsorted(p_starts[s_first[:-1]], offsets)
+    above, levels = memoryview(np.ascontiguousarray(sections["digest"]).tobytes()), of_docs * DIGEST
+    roots = [hashlib.sha256(b"root" + above[a:b]).hexdigest() for a, b in zip(levels[:-1].tolist(), levels[1:].tolist())]
+    return Trees(roots, blocks, np.searchsorted(b_starts, offsets), paragraphs, np.searchsorted(p_starts, offsets), sections, of_docs)
 
 
 def _every(ends: np.ndarray, most: int) -> None:
@@ -101,14 +110,26 @@ def _every(ends: np.ndarray, most: int) -> None:
     ends |= since % most == 0
 
 
-def _hex(values: np.ndarray, digits: int) -> bytes:
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - digits // 2 :].tobytes().hex().encode()
+def encode(trees: Trees, i: int) -> str:
+    """The fingerprint of document i: its root, then its sections, paragraphs and blocks in order, each with what it covers, in hexadecimal digits, joined by dots."""
+    part = lambda v, f: v[f[i] : f[i + 1]].tobytes().hex()
+    return ".".join([trees.roots[i], part(trees.sections, trees.section_first), part(trees.paragraphs, trees.paragraph_first), part(trees.blocks, trees.block_first)])
 
 
-def encode(trees: Trees, i: int) -> str:
-    """The fingerprint of document i: root, then section, paragraph and block digests (12, 10 and 8 hex digits each), joined by dots."""
-    part = lambda v, f, d: _hex(v[f[i] : f[i + 1]], d).decode()
-    return ".".join([trees.roots[i], part(trees.sections, trees.section_first, 12), part(trees.paragraphs, trees.paragraph_first, 10), part(trees.blocks, trees.block_first, 8)])
+def decode(fingerprint: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Root, sections, paragraphs, blocks of a fingerprint."""
+    root, *levels = fingerprint.split(".")
+    return root, *(np.frombuffer(bytes.fromhex(x), kind) for x, kind in zip(levels, (_INNER, _INNER, _BLOCK)))
+
+
+def verify(fingerprint: str) -> bool:
+    """Whether the digests fit together: each section's is that of its paragraphs', and the root that of its sections'."""
+    root, sections, paragraphs, blocks = decode(fingerprint)
+    bounds = np.append(0, np.cumsum(sections["children"].astype(np.int64)))
+    if bounds[-1] != len(paragraphs) or paragraphs["children"].sum() != len(blocks):
+        return False
+    right = _digests(b"section", np.ascontiguousarray(paragraphs["digest"]).tobytes(), bounds * DIGEST)
+    return bool((right == sections["digest"]).all()) and hashlib.sha256(b"root" + right.tobytes()).hexdigest() == root
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -126,35 +147,38 @@ def _alike(root_a: str, a: np.ndarray, root_b: str, b: np.ndarray) -> float:
     return min(2.0 * _common(a, b) / both, 1.0 - 1e-9) if both else 0.0
 
 
-def _blocks(fingerprint: str) -> tuple[str, np.ndarray]:
-    root, _, _, blocks = fingerprint.split(".")
-    return root, np.frombuffer(bytes.fromhex(blocks), ">u4").astype(np.uint32)
-
-
 def likeness(a: str, b: str) -> float:
     """Share (0 to 1) of the two fingerprints' blocks that they have in common; 1 only if their roots are equal."""
-    (ra, xa), (rb, xb) = _blocks(a), _blocks(b)
-    return _alike(ra, xa, rb, xb)
+    (ra, *_, xa), (rb, *_, xb) = decode(a), decode(b)
+    return _alike(ra, xa["hash"], rb, xb["hash"])
 
 
 def locate_edits(old: str, new: str) -> list[tuple[int, int]]:
-    """Byte spans of the new text whose branches do not occur in the old text's tree: sections that differ, within them paragraphs, within them blocks."""
-    trees = [build(*raw(pa.array([t]))) for t in (old, new)]
-    if trees[0].roots == trees[1].roots:
+    """Byte spans of the new text that the old one lacks, from the two fingerprints alone: down the branches whose digests the old tree does not have, to blocks.
+
+    What was only deleted or moved leaves no span, unless a block differs because of it.
+    """
+    (old_root, *before), (new_root, *after) = decode(old), decode(new)
+    if old_root == new_root:
         return []
-    known = [set(map(int, getattr(trees[0], level))) for level in ("sections", "paragraphs", "blocks")]
-    t, out = trees[1], []
-    for s, (a, b) in zip(t.sections, t.section_spans):
-        if int(s) in known[0]:
-            continue
-        for p, (c, d) in zip(t.paragraphs, t.paragraph_spans):
-            if a <= c < b and int(p) not in known[1]:
-                for x, (e, f) in zip(t.blocks, t.block_spans):
-                    if c <= e < d and int(x) not in known[2]:
-                        if out and out[-1][1] == e:
-                            out[-1] = (out[-1][0], int(f))
+    told = lambda x: set(map(bytes, x["digest"]))
+    known_sections, known_paragraphs, known_blocks = told(before[0]), told(before[1]), set(before[2]["hash"].tolist())
+    sections, paragraphs, blocks = after
+    ends = np.cumsum(blocks["size"].astype(np.int64))
+    out, p, k = [], 0, 0
+    for section, covers in zip(map(bytes, sections["digest"]), sections["children"].tolist()):
+        for q in range(p, p + covers):
+            n = int(paragraphs["children"][q])
+            if section not in known_sections and bytes(paragraphs["digest"][q]) not in known_paragraphs:
+                for i in range(k, k + n):
+                    if int(blocks["hash"][i]) not in known_blocks:
+                        a, z = int(ends[i]) - int(blocks["size"][i]), int(ends[i])
+                        if out and out[-1][1] == a:
+                            out[-1] = (out[-1][0], z)
                         else:
-                            out.append((int(e), int(f)))
+                            out.append((a, z))
+            k += n
+        p += covers
     return out
 
 
@@ -182,7 +206,7 @@ def _flush(rows: list[tuple], following: str) -> pa.RecordBatch:
         k = len(t) // 3
         edited.append(t[: len(t) - k] + nxt[:k])
     own, changed = build(*raw(pa.array(texts + [following], pa.large_string()))), build(*raw(pa.array(edited, pa.large_string())))
-    cut = lambda t, i: (t.blocks[t.block_first[i] : t.block_first[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    cut = lambda t, i: t.blocks["hash"][t.block_first[i] : t.block_first[i + 1]]
     near_e, near_n = [], []
     for i in range(len(rows)):
         mine = cut(own, i)
@@ -192,7 +216,7 @@ def _flush(rows: list[tuple], following: str) -> pa.RecordBatch:
         [
             pa.array([i for i, _ in rows], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
-            pa.array(changed.roots),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
             pa.array([encode(own, i) for i in range(len(rows))]),
             pa.array([encode(changed, i) for i in range(len(rows))]),
             pa.array(near_e, pa.float64()),
@@ -261,11 +285,9 @@ def edit_test(docs: DataFrame, *, rows_per_bucket: int = 5000) -> DataFrame:
 
     placed = keyed.withColumn("__bucket", F.pandas_udf(bucket_of, "int")("__k", "__h"))
     # A head is the first row of its bucket; its copy ends the bucket before it, and the first bucket's head ends the last bucket.
-    is_head = F.struct("__k", "__h")
     head_rows = spark.createDataFrame([(str(k), h, (i - 1) % len(heads)) for i, (k, h) in enumerate(heads)], "k string, h long, before int")
     head_rows = head_rows.select(F.col("k").cast("decimal(20,0)").alias("__k"), F.col("h").alias("__h"), "before")
     guests = keyed.join(F.broadcast(head_rows), ["__k", "__h"]).groupBy("before").agg(F.first("text").alias("text"))
-    del is_head
     rows = placed.select("__bucket", "__k", "__h", "doc_id", "text", F.lit(False).alias("__guest")).unionByName(
         guests.select(F.col("before").alias("__bucket"), F.lit(None).cast("decimal(20,0)").alias("__k"), F.lit(None).cast("long").alias("__h"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("__guest"))
     )
