@@ -3,11 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import treegrain.llm.jaccard as module
 from treegrain.llm.graph import connected_components
-from treegrain.llm.jaccard import RECALL, THRESHOLD, TREES, keep_one, near_duplicates, overlaps, prefix_depth
+from treegrain.llm.jaccard import LOOSE, RECALL, THRESHOLD, TREES, Bucket, candidates, keep_one, near_duplicates, overlaps, prefix_depth
 from treegrain.llm.queries import op10_ngram_jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,3 +129,45 @@ def test_many_copies_of_one_text(spark):
     out = near_duplicates(df).collect()
     assert {(r.class_id, r.n_links) for r in out if r.doc_id % 3 == 0} == {(0, 999)}
     assert all(r.n_links == 0 and r.class_id == r.doc_id for r in out if r.doc_id % 3)
+
+
+def test_pivots_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        base = rng.integers(0, 256, (6, 64)).astype(np.uint8)
+        members = [np.where(rng.random(64) < rng.choice([0.0, 0.3, 0.6, 1.0]), rng.integers(0, 256, 64), base[rng.integers(6)]).astype(np.uint8) for _ in range(80)]
+        bucket, parent = Bucket(64), list(range(80))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, m in enumerate(members):
+            for a, b in bucket.add(i, m):
+                assert find(a) != find(b)  # a forest
+                parent[find(a)] = find(b)
+        for i in range(80):
+            for j in range(i):
+                agree = (members[i] == members[j]).mean()
+                # What agrees as linked texts do is joined; what joins has a chain of loose agreement.
+                assert agree < 0.45 or find(i) == find(j)
+        sizes = Counter(map(find, range(80)))
+        assert all(any((members[i] == members[j]).mean() >= LOOSE for j in range(80) if j != i) for i in range(80) if sizes[find(i)] > 1)
+
+
+def test_crowded_bucket_of_strangers(spark):
+    """50,000 members of one bucket that have nothing in common but 200 pairs: split until no bucket is crowded, and the pairs still meet."""
+    import time
+
+    rng = np.random.default_rng(11)
+    n, width = 50_000, 224
+    sketches = rng.integers(0, 256, (n, width)).astype(np.uint8)
+    for k in range(200):
+        same = rng.random(width) < 0.55
+        sketches[n - 1 - k, same] = sketches[k, same]
+    df = spark.createDataFrame(pd.DataFrame({"nk": np.arange(n), "sketch": [bytes(s) for s in sketches]}), "nk long, sketch binary").repartition(8)
+    began = time.perf_counter()
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in candidates(df.selectExpr("1L AS bk", "nk"), df, width).collect()}
+    assert len(got & {(k, n - 1 - k) for k in range(200)}) >= 199 and len(got) < 300
+    assert time.perf_counter() - began < 300

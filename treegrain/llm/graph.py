@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from treegrain.session import spill_table
+from treegrain.session import discard, spill_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = spill_table(spark, _small_star(_large_star(now)), label)
+        last, now = now, spill_table(spark, _small_star(_large_star(now)), label)
+        discard(last)
         after = mark(now)
         if after == before:
             break

@@ -21,6 +21,10 @@ DEEPEST = 12
 RECALL = 0.97
 #: Sketch agreement that joins two members of a bucket for verification, and agreement above which a member leaves its place to a pivot.
 LOOSE, TIGHT = 0.32, 0.95
+#: Pivots of each component that a new member is sure to look at.
+HEADS = 8
+#: Members of a bucket that are compared with each other; larger ones go DEEPER in the trie at most so many times, by SPLITS values each time.
+CROWD, SPLITS, DEEPER = 2000, 12, 4
 #: Members of a component that are compared in one task; larger components are cut into pairs of blocks of this many.
 BLOCK = 512
 
@@ -105,57 +109,95 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join the members of each bucket that agree, emitting a forest. Rows come sorted by bucket.
+class Bucket:
+    """The pivots of a bucket, each with the component that it belongs to so far.
 
-    Pivots cover a bucket: a member close to one (TIGHT) is not kept, since whatever resembles it also resembles its pivot loosely.
+    A new member looks at the first HEADS pivots of every component, then at the other pivots of those components only that it hasn't joined by then. So one that joins a
+    large family at once costs as much as one that joins a small family.
     """
-    bucket, pivots, pivot_ids, parent, used = None, None, [], {}, 0
-    a, b = [], []
 
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def __init__(self, width: int):
+        self.sketches, self.ids = np.empty((64, width), np.uint8), np.empty(64, np.int64)
+        self.root, self.head = np.empty(64, np.int64), np.zeros(64, bool)
+        self.used, self.roots, self.seen = 0, 0, set()
+
+    def add(self, x: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Edges from x to one pivot of each component that it resembles. A member close to a pivot (TIGHT) is not kept, since whatever resembles it also resembles its pivot loosely."""
+        if x in self.seen:
+            return []
+        self.seen.add(x)
+        n = self.used
+        near, joined, edges = 0.0, np.zeros(0, np.int64), []
+        for again in (False, True):
+            if again and (len(joined) == self.roots or not n):
+                break
+            asked = np.flatnonzero(~self.head[:n] & ~np.isin(self.root[:n], joined) if again else self.head[:n])
+            if not len(asked):
+                continue
+            agree = np.count_nonzero(self.sketches[asked] == s, axis=1) / len(s)
+            near = max(near, agree.max())
+            roots, first = np.unique(self.root[asked[agree >= LOOSE]], return_index=True)
+            edges += [(x, int(self.ids[j])) for j in asked[agree >= LOOSE][first]]
+            joined = np.append(joined, roots)
+        own = int(joined[0]) if len(joined) else x
+        if len(joined) > 1:
+            self.root[:n][np.isin(self.root[:n], joined[1:])] = own
+        self.roots -= len(joined) - 1
+        if near < TIGHT:
+            if n == len(self.ids):
+                grow = lambda a: np.concatenate([a, np.zeros_like(a)])
+                self.sketches, self.ids, self.root, self.head = map(grow, (self.sketches, self.ids, self.root, self.head))
+            self.sketches[n], self.ids[n], self.root[n] = s, x, own
+            self.head[n] = np.count_nonzero(self.head[:n] & (self.root[:n] == own)) < HEADS
+            self.used += 1
+        return edges
+
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the members of each bucket that agree, emitting a forest. Rows come sorted by bucket."""
+    key, bucket, edges = None, None, []
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
     for batch in batches:
         if not batch.num_rows:
             continue
         names = batch.schema.names
         keys, nodes = batch.column(names.index("bk")).to_numpy(), batch.column(names.index("nk")).to_numpy()
         data, at = raw(batch.column(names.index("sketch")))
-        width = int(at[1] - at[0])
-        sketches = data.reshape(-1, width)
+        sketches = data.reshape(-1, int(at[1] - at[0]))
         for i in range(len(keys)):
-            if bucket is None or keys[i] != bucket:
-                bucket, pivots, used, parent = keys[i], np.empty((64, width), np.uint8), 0, {}
-                pivot_ids = []
-            x, s = int(nodes[i]), sketches[i]
-            if x in parent:
-                continue
-            parent[x] = x
-            near = 0.0
-            if used:
-                agree = np.count_nonzero(pivots[:used] == s, axis=1) / width
-                near = agree.max()
-                for j in np.flatnonzero(agree >= LOOSE):
-                    r, q = find(pivot_ids[j]), find(x)
-                    if r != q:
-                        parent[q] = r
-                        a.append(x)
-                        b.append(pivot_ids[j])
-            if near < TIGHT:
-                if used == len(pivots):
-                    pivots = np.concatenate([pivots, np.empty_like(pivots)])
-                pivots[used] = s
-                pivot_ids.append(x)
-                used += 1
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if bucket is None or keys[i] != key:
+                key, bucket = keys[i], Bucket(sketches.shape[1])
+            edges += bucket.add(int(nodes[i]), sketches[i])
+        if len(edges) > 50_000:
+            yield pack()
+            edges = []
+    if edges:
+        yield pack()
+
+
+def candidates(meeting: DataFrame, sketches: DataFrame, width: int, *, crowd: int | None = None) -> DataFrame:
+    """(a, b): loose links between the members (nk) of each bucket (bk).
+
+    A bucket of more than `crowd` members is taken deeper in the trie: its members go on to buckets that share one more value, by SPLITS different values, so that
+    few pairs that meet above fail to meet below (at a similarity of 0.5 one of 4,000 such meetings), and so again while there are crowded ones, DEEPER times at most.
+    """
+    spark, crowd = meeting.sparkSession, CROWD if crowd is None else crowd
+    level = spill_table(spark, meeting.join(sketches, "nk").select("bk", "nk", "sketch"), "meeting")
+    out = None
+    for depth in range(DEEPER + 1):
+        large = level.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bk")
+        split = depth < DEEPER and large.limit(1).count() > 0
+        here = level.join(large, "bk", "left_anti") if split else level
+        rows = here.repartition("bk").sortWithinPartitions("bk", F.xxhash64("bk", "nk")).mapInArrow(tidy(_edges), "a long, b long")
+        out = rows if out is None else out.unionByName(rows)
+        if not split:
+            return out
+        place = F.pmod(F.xxhash64("bk", "i", F.lit(depth)), F.lit(width)).cast("int") + 1
+        deeper = level.join(large, "bk", "left_semi").withColumn("i", F.explode(F.array(*map(F.lit, range(SPLITS)))))
+        deeper = deeper.select(F.xxhash64("bk", "i", F.lit(depth), F.substring("sketch", place, F.lit(1))).alias("bk"), "nk", "sketch")
+        shared = deeper.groupBy("bk").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")).where("lo != hi").select("bk")
+        level = spill_table(spark, deeper.join(shared, "bk", "left_semi"), "meeting")
+    return out
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -267,7 +309,7 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     without words are copies of each other; a null doc_id is the smallest (class_id null); repeated rows are copies; an
     empty table gives no rows; other columns are ignored.
 
-    Copies are counted first and stand for one node. Nodes meet in the forest's buckets (prefixes as short as the target recall asks);
+    Copies are counted first and stand for one node. Nodes meet in the forest's buckets (prefixes as short as the target recall asks, longer in crowded buckets);
     in a bucket, 1-byte sketches decide who goes on, against pivots, never all pairs; what is joined forms components, whose texts are brought together
     and compared exactly, in blocks, so a component of any size is spread over tasks.
     """
@@ -280,9 +322,7 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     shared = members.groupBy("bk").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")).where("lo != hi").select("bk")
     meeting = members.join(shared, "bk", "left_semi").distinct()
     sketches = signed_docs.select("nk", "sketch").dropDuplicates(["nk"])
-    crowd = meeting.join(sketches, "nk").repartition("bk").sortWithinPartitions("bk", F.xxhash64("bk", "nk"))
-    joined = crowd.select("bk", "nk", "sketch").mapInArrow(tidy(_edges), "a long, b long")
-    components = connected_components(joined, "candidates")
+    components = connected_components(candidates(meeting, sketches, trees * depth), "candidates")
 
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = components.join(sizes, "component").select(F.col("node").alias("nk"), "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -309,7 +349,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows keep all their columns. See near_duplicates() for nulls, empty texts and empty tables.
     """
-    found = near_duplicates(docs, **options)
+    found = spill_table(docs.sparkSession, near_duplicates(docs, **options).select("class_did", "did", "th"), "classes-of-rows")
     did, th = fresh_names(docs, "__did", "__th")
     chosen = found.groupBy("class_did").agg(F.min(F.struct("did", "th")).alias("row")).select(F.col("row.did").alias(did), F.col("row.th").alias(th))
     own = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64(F.coalesce("text", F.lit("")))})
