@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from treegrain.llm.fmindex import FMIndex
 from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, tidy, word_prefix
@@ -94,13 +94,15 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "content", "n", "words"])
 
 
+#: What becomes of a content: its key has no other; it has; it has too much under it.
+ALONE, MANY, LARGE = 0, 1, 2
 MATCHES = "key long, content long, s long, e long"
 
 
 def _search(window: int, shard_words: int):
     """Index the distinct segments of a shard, each with the number of its places, and stream them through: where at least a window matches that has another place too.
 
-    Rows come sorted by key and content.
+    Rows come sorted by key and content, or each with a key of its own.
     """
 
     def shard(rows: list[tuple]) -> list[tuple]:
@@ -142,32 +144,38 @@ def _search(window: int, shard_words: int):
     return each
 
 
-def _matches(base: DataFrame, window: int, anchors: tuple[int, ...], shard_words: int, key_words: int) -> DataFrame:
-    """(a, b, s, e): intervals of words of each text (a, b, n, text; n: how many texts it stands for) that lie in windows with another place."""
+def _matches(base: DataFrame, texts: DataFrame, window: int, anchors: tuple[int, ...], shard_words: int, key_words: int) -> DataFrame:
+    """(a, b, s, e): intervals of words of each text (a, b, n, text; n: how many texts it stands for) that lie in windows with another place. texts: a, b, text, partitioned by a and b."""
     spark = base.sparkSession
     every = spill_table(spark, base.mapInArrow(tidy(_segments(window, anchors[0])), SEGMENTS), "segments")
     twice = every.groupBy("key").agg(F.sum("n").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("key")
     segments = spill_table(spark, every.join(twice, "key", "left_semi"), "repeated-segments")
     discard(every)
-    kinds = segments.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("row"))
-    large = kinds.groupBy("key").agg(F.sum(F.col("row.place").bitwiseAND(_LENGTH)).alias("words")).where(F.col("words") > key_words).select("key", F.lit(True).alias("large"))
-    split = len(anchors) > 1
+    kinds = segments.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("row")).select("key", "content", "n", "row.*")
+    key = W.partitionBy("key")
+    words = F.sum(F.col("place").bitwiseAND(_LENGTH)).over(key)
+    way = F.when(words > key_words, LARGE).when(F.count(F.lit(1)).over(key) == 1, ALONE) if len(anchors) > 1 else F.when(F.count(F.lit(1)).over(key) == 1, ALONE)
+    kinds = spill_table(spark, kinds.withColumn("way", way.otherwise(MANY)), "contents")
+    split = len(anchors) > 1 and kinds.where(F.col("way") == LARGE).limit(1).count() > 0
+    asked = kinds.groupBy("a", "b").agg(F.collect_list(F.struct("key", "content", "n", "place", "way")).alias("wanted"))
+    found = texts.join(asked, ["a", "b"])
+
+    def contents(way: int) -> DataFrame:
+        return found.select("a", "b", "text", F.filter("wanted", lambda x: x["way"] == way).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(tidy(_contents), CONTENTS)
+
+    search = tidy(_search(window, shard_words))
+    # The shard of a key with a single content is where that content is; the others' contents are brought together.
+    out = contents(ALONE).mapInArrow(search, MATCHES).unionByName(contents(MANY).repartition("key").sortWithinPartitions("key", "content").mapInArrow(search, MATCHES))
     if split:
-        kinds = spill_table(spark, kinds.join(large, "key", "left"), "contents")
-        split = kinds.where("large").limit(1).count() > 0
-    texts = base.select("a", "b", "text").repartition("a", "b")
-
-    def contents(rows: DataFrame) -> DataFrame:
-        asked = rows.select("row.*", "key", "content", "n").groupBy("a", "b").agg(F.collect_list(F.struct("key", "content", "n", "place")).alias("wanted"))
-        return texts.join(asked, ["a", "b"]).mapInArrow(tidy(_contents), CONTENTS)
-
-    found = contents(kinds.where("large is null") if split else kinds).repartition("key").sortWithinPartitions("key", "content").mapInArrow(tidy(_search(window, shard_words)), MATCHES)
-    if split:
-        deeper = contents(kinds.where("large")).dropDuplicates(["key", "content"])
+        deeper = contents(LARGE).dropDuplicates(["key", "content"])
         deeper = spill_table(spark, deeper.select(F.col("key").alias("a"), F.col("content").alias("b"), "n", F.col("words").alias("text")), "split")
-        found = found.unionByName(_matches(deeper, window, anchors[1:], shard_words, key_words).select(F.col("a").alias("key"), F.col("b").alias("content"), "s", "e"))
+        again = _matches(deeper, deeper.select("a", "b", "text").repartition("a", "b"), window, anchors[1:], shard_words, key_words)
+        out = out.unionByName(again.select(F.col("a").alias("key"), F.col("b").alias("content"), "s", "e"))
     start = F.shiftright("place", _START_BITS)
-    return segments.join(found, ["key", "content"]).select("a", "b", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
+    # Written out, so that texts are exchanged once for this and once for what is made of it, at every size, whatever a planner may find to reuse.
+    out = spill_table(spark, out, "matches")
+    discard(kinds)
+    return segments.join(out, ["key", "content"]).select("a", "b", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
 
 
 def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchors: tuple[int, ...] = ANCHORS, shard_words: int = SHARD_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
@@ -184,7 +192,8 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, anchors: tuple[
     ship_code(spark)
     base = spread(keyed(docs)).select(F.col("did").alias("a"), F.col("th").alias("b"), F.lit(1).cast("long").alias("n"), "text")
     steps = (*[a for a in anchors if a < window], window)
-    every = _matches(base, window, steps, shard_words, key_words).distinct()
+    texts = keyed(docs).repartition("did", "th").select(F.col("did").alias("a"), F.col("th").alias("b"), "text")
+    every = _matches(base, texts, window, steps, shard_words, key_words).distinct()
     return every.groupBy(F.col("a").alias("did"), F.col("b").alias("th")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
