@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from treegrain.llm.fmindex import FMIndex
-from treegrain.llm.textblock import Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, tidy, word_prefix
+from treegrain.llm.textblock import SLICE_BYTES, Words, ngram_hashes, raw, sequence_hashes, signed, slices, sliding_min, tidy, word_prefix
 from treegrain.session import discard, fresh_names, ship_code, spill_table, spread
 
 WINDOW = 35
@@ -71,7 +72,7 @@ def _segments(window: int, anchor: int):
     return each
 
 
-CONTENTS = "key long, content long, n long, words binary"
+CONTENTS = "key long, content long, n long, words binary, way int"
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,10 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, data = Words(data, at), data.tobytes()
             for s in wanted[i].as_py():
                 start, n = s["place"] >> _START_BITS, s["place"] & _LENGTH
-                out.append((s["key"], s["content"], s["n"], b" ".join(data[w.starts[k] : w.ends[k]] for k in range(start, start + n))))
+                out.append((s["key"], s["content"], s["n"], b" ".join(data[w.starts[k] : w.ends[k]] for k in range(start, start + n)), s["way"]))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "content", "n", "words"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in CONTENTS.split(", ")])
 
 
 #: What becomes of a content: its key has no other; it has; it has too much under it.
@@ -144,6 +145,37 @@ def _search(window: int, shard_words: int):
     return each
 
 
+TAKEN = "key long, content long, n long, words binary, way int, s long, e long"
+
+
+def _take(window: int, shard_words: int):
+    """Wanted contents of texts: those alone under their key as what the index of their own shard finds of them, the others as words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = [x.split()[0] for x in TAKEN.split(", ")], []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for m in _search(window, shard_words)(iter(held)):
+                n = m.num_rows
+                yield pa.RecordBatch.from_arrays([m["key"], m["content"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([ALONE] * n, pa.int32()), m["s"], m["e"]], names=names)
+            held.clear()
+
+        for b in _contents(batches):
+            alone = pc.equal(b["way"], ALONE)
+            own = b.filter(alone)
+            if own.num_rows:
+                held.append(own)
+            if sum(x["words"].nbytes for x in held) > SLICE_BYTES:
+                yield from give()
+            rest = b.filter(pc.invert(alone))
+            if rest.num_rows:
+                none = pa.nulls(rest.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*rest.columns, none, none], names=names)
+        yield from give()
+
+    return each
+
+
 def _matches(base: DataFrame, texts: DataFrame, window: int, anchors: tuple[int, ...], shard_words: int, key_words: int) -> DataFrame:
     """(a, b, s, e): intervals of words of each text (a, b, n, text; n: how many texts it stands for) that lie in windows with another place. texts: a, b, text, partitioned by a and b."""
     spark = base.sparkSession
@@ -158,23 +190,17 @@ def _matches(base: DataFrame, texts: DataFrame, window: int, anchors: tuple[int,
     kinds = spill_table(spark, kinds.withColumn("way", way.otherwise(MANY)), "contents")
     split = len(anchors) > 1 and kinds.where(F.col("way") == LARGE).limit(1).count() > 0
     asked = kinds.groupBy("a", "b").agg(F.collect_list(F.struct("key", "content", "n", "place", "way")).alias("wanted"))
-    found = texts.join(asked, ["a", "b"])
-
-    def contents(way: int) -> DataFrame:
-        return found.select("a", "b", "text", F.filter("wanted", lambda x: x["way"] == way).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(tidy(_contents), CONTENTS)
-
-    search = tidy(_search(window, shard_words))
-    # The shard of a key with a single content is where that content is; the others' contents are brought together.
-    out = contents(ALONE).mapInArrow(search, MATCHES).unionByName(contents(MANY).repartition("key").sortWithinPartitions("key", "content").mapInArrow(search, MATCHES))
+    # One pass over the texts: contents that are alone under their key are searched where they stand, the others' words are written out.
+    found = spill_table(spark, texts.join(asked, ["a", "b"]).select("a", "b", "text", "wanted").mapInArrow(tidy(_take(window, shard_words)), TAKEN), "taken")
+    contents = lambda way: found.where(F.col("way") == way).select("key", "content", "n", "words")
+    together = contents(MANY).repartition("key").sortWithinPartitions("key", "content")
+    out = found.where(F.col("way") == ALONE).select("key", "content", "s", "e").unionByName(together.mapInArrow(tidy(_search(window, shard_words)), MATCHES))
     if split:
         deeper = contents(LARGE).dropDuplicates(["key", "content"])
         deeper = spill_table(spark, deeper.select(F.col("key").alias("a"), F.col("content").alias("b"), "n", F.col("words").alias("text")), "split")
         again = _matches(deeper, deeper.select("a", "b", "text").repartition("a", "b"), window, anchors[1:], shard_words, key_words)
         out = out.unionByName(again.select(F.col("a").alias("key"), F.col("b").alias("content"), "s", "e"))
     start = F.shiftright("place", _START_BITS)
-    # Written out, so that texts are exchanged once for this and once for what is made of it, at every size, whatever a planner may find to reuse.
-    out = spill_table(spark, out, "matches")
-    discard(kinds)
     return segments.join(out, ["key", "content"]).select("a", "b", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
 
 
