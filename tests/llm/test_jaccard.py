@@ -171,3 +171,19 @@ def test_crowded_bucket_of_strangers(spark):
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in candidates(df.selectExpr("1L AS bk", "nk"), df, width).collect()}
     assert len(got & {(k, n - 1 - k) for k in range(200)}) >= 199 and len(got) < 300
     assert time.perf_counter() - began < 300
+
+
+def test_crowded_bucket_of_a_family(spark, monkeypatch):
+    """A family larger than a bucket should be, with a few strangers: one component, and not a copy of its rows for every value that its members share."""
+    rng = np.random.default_rng(13)
+    n, width = 600, 224
+    base = rng.integers(0, 256, width)
+    sketches = np.where(rng.random((n, width)) < 0.9, base, rng.integers(0, 256, (n, width))).astype(np.uint8)
+    sketches[-20:] = rng.integers(0, 256, (20, width))
+    df = spark.createDataFrame(pd.DataFrame({"nk": np.arange(n), "sketch": [bytes(s) for s in sketches]}), "nk long, sketch binary").repartition(4)
+    written, spill = [], module.spill_table
+    monkeypatch.setattr(module, "spill_table", lambda s, d, label: (back := spill(s, d, label), written.append(back.count()))[0])
+    meeting = spark.range(4).selectExpr("id AS bk").crossJoin(df.select("nk"))
+    out = connected_components(candidates(meeting, df, width, crowd=100))
+    assert {r.component for r in out.collect()} == {0} and out.count() == n - 20
+    assert sum(written) < 4 * 4 * n

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treegrain.llm.graph import connected_components
 from treegrain.llm.textblock import Words, mix, ngram_hashes, raw, signed, slices, tidy
-from treegrain.session import fresh_names, ship_code, spill_table, spread
+from treegrain.session import discard, fresh_names, ship_code, spill_table, spread
 
 NGRAM = 3
 #: At 0.5, texts that differ in up to an eighth of their words are linked.
@@ -23,10 +23,13 @@ RECALL = 0.97
 LOOSE, TIGHT = 0.32, 0.95
 #: Pivots of each component that a new member is sure to look at.
 HEADS = 8
-#: Members of a bucket that are compared with each other; larger ones go DEEPER in the trie at most so many times, by SPLITS values each time.
+#: Members of a bucket that are passed over at once; larger ones in parts, and then, if too many pairs are left, DEEPER in the trie at most so many times, by SPLITS values each time.
 CROWD, SPLITS, DEEPER = 2000, 12, 4
-#: Members of a component that are compared in one task; larger components are cut into pairs of blocks of this many.
-BLOCK = 512
+#: Pairs of members from different components, in units of CROWD squared, that one bucket may have before it is taken deeper.
+PAIRS = 25
+#: Members of a component that are compared at once. Larger components are cut into blocks, a task for each pair of them: eight blocks of at least so many members,
+#: or else blocks of WIDEST times as many, since every text is sent once for each block.
+BLOCK, WIDEST = 512, 4
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -175,28 +178,51 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack()
 
 
+def _forest(level: DataFrame) -> DataFrame:
+    """(a, b): loose links between the members of each bucket.
+
+    Rows are brought together by a hash of bk: an exchange by bk itself would be dropped after a join by bk, which Spark may then turn into one that leaves rows where they are.
+    """
+    rows = level.repartition(F.xxhash64("bk")).sortWithinPartitions("bk", F.xxhash64("bk", "nk"))
+    return rows.select("bk", "nk", "sketch").mapInArrow(tidy(_edges), "a long, b long")
+
+
 def candidates(meeting: DataFrame, sketches: DataFrame, width: int, *, crowd: int | None = None) -> DataFrame:
     """(a, b): loose links between the members (nk) of each bucket (bk).
 
-    A bucket of more than `crowd` members is taken deeper in the trie: its members go on to buckets that share one more value, by SPLITS different values, so that
-    few pairs that meet above fail to meet below (at a similarity of 0.5 one of 4,000 such meetings), and so again while there are crowded ones, DEEPER times at most.
+    A bucket of more than `crowd` members is first passed over in random parts of that many. That joins large families, whose members share most buckets, at once and
+    without a copy of a row. What is left to do in it are pairs from different components; one in which these are too many (strangers) is taken deeper in the trie: its members go on
+    to buckets that share one more value, by SPLITS different values, so that few pairs that meet above fail to meet below (at a similarity of 0.5 one of 4,000 such
+    meetings), and so again while there are crowded ones, DEEPER times at most. Buckets of one component are left aside.
     """
     spark, crowd = meeting.sparkSession, CROWD if crowd is None else crowd
     level = spill_table(spark, meeting.join(sketches, "nk").select("bk", "nk", "sketch"), "meeting")
-    out = None
+    large = level.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    if not large.limit(1).count():
+        return _forest(level)
+    part = F.xxhash64("bk", F.pmod(F.xxhash64("nk", "bk"), F.ceil(F.col("n") / crowd)))
+    parts = level.join(large, "bk", "left").withColumn("bk", F.when(F.col("n").isNull(), F.col("bk")).otherwise(part))
+    out = spill_table(spark, _forest(parts), "loose")
+    known = connected_components(out, "loose-components").select(F.col("node").alias("nk"), "component")
+    crowded = level.join(large, "bk", "left_semi").join(known, "nk", "left").withColumn("component", F.coalesce("component", "nk"))
+    before, level = level, spill_table(spark, crowded.select("bk", "nk", "sketch", "component"), "meeting")
+    discard(before)
     for depth in range(DEEPER + 1):
-        large = level.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bk")
-        split = depth < DEEPER and large.limit(1).count() > 0
-        here = level.join(large, "bk", "left_anti") if split else level
-        rows = here.repartition("bk").sortWithinPartitions("bk", F.xxhash64("bk", "nk")).mapInArrow(tidy(_edges), "a long, b long")
-        out = rows if out is None else out.unionByName(rows)
-        if not split:
-            return out
-        place = F.pmod(F.xxhash64("bk", "i", F.lit(depth)), F.lit(width)).cast("int") + 1
-        deeper = level.join(large, "bk", "left_semi").withColumn("i", F.explode(F.array(*map(F.lit, range(SPLITS)))))
-        deeper = deeper.select(F.xxhash64("bk", "i", F.lit(depth), F.substring("sketch", place, F.lit(1))).alias("bk"), "nk", "sketch")
-        shared = deeper.groupBy("bk").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")).where("lo != hi").select("bk")
-        level = spill_table(spark, deeper.join(shared, "bk", "left_semi"), "meeting")
+        across = level.groupBy("bk", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bk").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+        too_many = across.where(F.col("pairs") > PAIRS * crowd * crowd).select("bk")
+        split = depth < DEEPER and too_many.limit(1).count() > 0
+        here = level.join(across.where((F.col("pairs") > 0) & ((F.col("pairs") <= PAIRS * crowd * crowd) | F.lit(not split))), "bk", "left_semi")
+        out = out.unionByName(spill_table(spark, _forest(here), "loose"))
+        if split:
+            place = F.pmod(F.xxhash64("bk", "i", F.lit(depth)), F.lit(width)).cast("int") + 1
+            deeper = level.join(too_many, "bk", "left_semi").withColumn("i", F.explode(F.array(*map(F.lit, range(SPLITS)))))
+            deeper = deeper.select(F.xxhash64("bk", "i", F.lit(depth), F.substring("sketch", place, F.lit(1))).alias("bk"), "nk", "sketch", "component")
+            shared = deeper.groupBy("bk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bk")
+            before, level = level, spill_table(spark, deeper.join(shared, "bk", "left_semi"), "meeting")
+            discard(before)
+        else:
+            discard(level)
+            break
     return out
 
 
@@ -239,39 +265,36 @@ def _verify(ngram: int, threshold: float):
         _, i, j = pair
         left = [r for r in rows if r[0] == i]
         right = left if i == j else [r for r in rows if r[0] == j]
-        if not left or not right:
-            return []
-        both = overlaps([r[4] for r in left], None if i == j else [r[4] for r in right])
-        sizes = [np.array([len(r[4]) for r in side]) for side in (left, right)]
-        linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
-        if i == j:
-            np.fill_diagonal(linked, False)
-        copies = [np.array([r[3] for r in side]) for side in (left, right)]
-        out = []
-        for side, counts in ((left, linked @ copies[1]), *(((right, linked.T @ copies[0]),) if i != j else ())):
-            out += [("links", r[1], r[2], None, None, int(c)) for r, c in zip(side, counts) if c]
-        # A breadth-first forest over the links.
-        n, m = linked.shape
-        seen = np.zeros(n if i == j else n + m, bool)
-        for s in range(n):
-            if seen[s]:
-                continue
-            seen[s] = True
-            stack = [s]
-            for x in stack:
-                if i == j:
-                    new = np.flatnonzero(linked[x] & ~seen)
-                elif x < n:
-                    new = np.flatnonzero(linked[x] & ~seen[n:]) + n
-                else:
-                    new = np.flatnonzero(linked[:, x - n] & ~seen[:n])
-                p = left[x] if x < n else right[x - n]
-                for y in new:
-                    q = left[y] if y < n else right[y - n]
-                    out.append(("edge", p[1], p[2], q[1], q[2], None))
-                seen[new] = True
-                stack.extend(int(y) for y in new)
-        return out
+        # Members are numbered through both blocks; each has a tree of the forest so far.
+        members, shift = (left, 0) if i == j else (left + right, len(left))
+        links, root, out = np.zeros(len(members), np.int64), list(range(len(members))), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for s in range(0, len(left), BLOCK):
+            for t in range(s if i == j else 0, len(right), BLOCK):
+                own, other, same = left[s : s + BLOCK], right[t : t + BLOCK], i == j and s == t
+                both = overlaps([r[4] for r in own], None if same else [r[4] for r in other])
+                sizes = [np.array([len(r[4]) for r in side]) for side in (own, other)]
+                linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
+                if same:
+                    np.fill_diagonal(linked, False)
+                links[s : s + len(own)] += linked @ np.array([r[3] for r in other])
+                if not same:
+                    links[shift + t : shift + t + len(other)] += linked.T @ np.array([r[3] for r in own])
+                # Trees first as labels of the whole tile, then only links between different ones.
+                mine, theirs = (np.array([find(x) for x in range(k, k + n)]) for k, n in ((s, len(own)), (shift + t, len(other))))
+                for x in np.flatnonzero(linked.any(axis=1)):
+                    to = np.flatnonzero(linked[x] & (theirs != mine[x]))
+                    for y in to[np.unique(theirs[to], return_index=True)[1]]:
+                        a, b = find(s + int(x)), find(shift + t + int(y))
+                        if a != b:
+                            root[b] = a
+                            out.append(("edge", *members[s + x][1:3], *members[shift + t + y][1:3], None))
+        return out + [("links", r[1], r[2], None, None, int(c)) for r, c in zip(members, links) if c]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.string(), *[pa.int64()] * 5]
@@ -309,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     without words are copies of each other; a null doc_id is the smallest (class_id null); repeated rows are copies; an
     empty table gives no rows; other columns are ignored.
 
-    Copies are counted first and stand for one node. Nodes meet in the forest's buckets (prefixes as short as the target recall asks, longer in crowded buckets);
+    Copies are counted first and stand for one node. Nodes meet in the forest's buckets (prefixes as short as the target recall asks, longer in those crowded with strangers);
     in a bucket, 1-byte sketches decide who goes on, against pivots, never all pairs; what is joined forms components, whose texts are brought together
     and compared exactly, in blocks, so a component of any size is spread over tasks.
     """
@@ -325,7 +348,7 @@ def near_duplicates(docs: DataFrame, *, ngram: int = NGRAM, threshold: float = T
     components = connected_components(candidates(meeting, sketches, trees * depth), "candidates")
 
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = components.join(sizes, "component").select(F.col("node").alias("nk"), "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = components.join(sizes, "component").select(F.col("node").alias("nk"), "component", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 8, F.lit(BLOCK)), F.lit(WIDEST * BLOCK))).cast("int").alias("blocks"))
     compared = nodes.join(placed, "nk").withColumn("block", F.pmod(F.xxhash64("nk", "nk2"), F.col("blocks")).cast("int"))
     rows = keyed(docs).select("did", "th", "text").join(compared.select(F.col("row.did").alias("did"), F.col("row.th").alias("th"), "nk", "nk2", "copies", "component", "blocks", "block"), ["did", "th"]).dropDuplicates(["did", "th"])
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS bi, greatest(x, block) AS bj))")
