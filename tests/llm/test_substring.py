@@ -7,7 +7,7 @@ import numpy as np
 
 from treegrain.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
 from treegrain.llm.queries import op6_substring_dedup
-from treegrain.llm.substring import cut_documents, remove_repeats
+from treegrain.llm.substring import cut_documents, remove_repeats, repeated_intervals
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -103,6 +103,15 @@ def test_nulls_repeats_and_empty(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_repetitive_text_is_one_interval(spark):
+    """A split key's windows are found one by one; a text's row holds them as one interval, not one for each."""
+    rows = [(1, "it " * 3000), (2, "own words " + "it " * 2000 + "tail")]
+    df = spark.createDataFrame(rows, DOCS)
+    spans = {r.did: [tuple(x) for x in r.spans] for r in repeated_intervals(df, key_words=100).collect()}
+    assert spans == {1: [(0, 3000)], 2: [(2, 2002)]}
+    check(df, rows, key_words=100)
+
+
 def test_cut_documents(spark):
     shared = " ".join(f"s{i}" for i in range(50))
     rows = [(1, f"own  words\n{shared} tail", 9, "a"), (2, f"{shared} other", 9, "b"), (3, shared, 9, "c"), (4, "left  as\nit is", 9, "d"), (5, None, None, "e"), (6, "", 0, "f")]

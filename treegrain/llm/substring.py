@@ -176,6 +176,14 @@ def _take(window: int, shard_words: int):
     return each
 
 
+def _merged(intervals: DataFrame) -> DataFrame:
+    """Intervals (a, b, s, e) of each text, those that overlap or touch as one."""
+    by = W.partitionBy("a", "b").orderBy("s")
+    reach = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
+    runs = intervals.withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("a", "b", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("a", "b", "s", "e")
+
+
 def _matches(base: DataFrame, texts: DataFrame, window: int, anchors: tuple[int, ...], shard_words: int, key_words: int) -> DataFrame:
     """(a, b, s, e): intervals of words of each text (a, b, n, text; n: how many texts it stands for) that lie in windows with another place. texts: a, b, text, partitioned by a and b."""
     spark = base.sparkSession
@@ -198,7 +206,8 @@ def _matches(base: DataFrame, texts: DataFrame, window: int, anchors: tuple[int,
     if split:
         deeper = contents(LARGE).dropDuplicates(["key", "content"])
         deeper = spill_table(spark, deeper.select(F.col("key").alias("a"), F.col("content").alias("b"), "n", F.col("words").alias("text")), "split")
-        again = _matches(deeper, deeper.select("a", "b", "text").repartition("a", "b"), window, anchors[1:], shard_words, key_words)
+        # A long text that repeats itself has an interval for each of its windows there; as one they never fill a row of the texts' intervals.
+        again = _merged(_matches(deeper, deeper.select("a", "b", "text").repartition("a", "b"), window, anchors[1:], shard_words, key_words))
         out = out.unionByName(again.select(F.col("a").alias("key"), F.col("b").alias("content"), "s", "e"))
     start = F.shiftright("place", _START_BITS)
     return segments.join(out, ["key", "content"]).select("a", "b", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
