@@ -220,6 +220,19 @@ def test_a_kept_index(spark):
         assert sorted(map(tuple, bm25.search(docs, asked, 5, block=block).collect())) == sorted(map(tuple, kept.collect()))
 
 
+def test_many_query_terms_make_no_row_for_a_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 40)))) for i in range(700)], "doc_id long, text string").repartition(6)
+    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    want = sorted(map(tuple, bm25.search_index(bm25.build(docs), asked, 3).collect()))
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 500)
+    for share in (0.0, 1 / 64, 2.0):
+        monkeypatch.setattr(bm25, "HEAD_SHARE", share, raising=False)
+        got = bm25.search(docs, asked, 3, block=20)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         T.slug(F.lit("Hello, Wörld!")), T.slug(F.lit("Ñandú É"), fold_accents=True), T.parent_path(F.lit("a.b.c")), T.parent_path(F.lit("a")), T.path_name(F.lit("a.b")), T.article_number(F.lit("Article 12 x")), T.article_number(F.lit("Part 1")),
