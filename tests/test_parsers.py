@@ -1,5 +1,6 @@
 """Structural parsers: goldens re-derived from their rules, and closure properties."""
 
+import pyarrow as pa
 import pytest
 
 from treegrain.operators.chunk_html import html_rows
@@ -7,6 +8,7 @@ from treegrain.operators.chunk_legal import ROOT, articles_of, chapter_of, legal
 from treegrain.operators.chunk_markdown import list_items, markdown_rows
 from treegrain.operators.chunk_pdf import classify, extractor, pdf_rows
 from treegrain.operators.chunk_python import python_rows
+from treegrain.operators.chunk_text import chunk_text, pieces
 from treegrain.operators.outline import ancestors_exist, slugify
 from treegrain.plans import fixtures
 from treegrain.sources import parsers
@@ -156,3 +158,20 @@ def test_table_functions(spark, small):
     broken = pages.alias("c").join(pages.alias("p"), ["doc_id"]).where("p.node_path = c.parent_path").count()
     assert broken == pages.where("parent_path <> ''").count() > 0
     assert parsers.chunk_html(spark.createDataFrame([(1, None)], "doc_id long, html string")).count() == 1
+
+
+def _stage(monkeypatch, docs, make):
+    """The function that a plan hands to mapInArrow."""
+    kept = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, shape, *a: kept.append(f) or real(df, f, shape, *a))
+    make(docs)
+    return kept[0]
+
+
+def test_a_batch_of_texts_is_cut_a_megabyte_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    stage = _stage(monkeypatch, docs, chunk_text)
+    texts = ["One sentence of a paragraph. " * 150] * 3000 + [None, ""]
+    out = list(stage(iter([pa.RecordBatch.from_arrays([pa.array(range(3002)), pa.array(texts)], names=["doc_id", "__text"])])))
+    assert max(b.nbytes for b in out) < 4 << 20 and sum(b.num_rows for b in out) == sum(1 + len(pieces(t)) for t in texts)

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from treegrain.operators.chunks import with_paths
-from treegrain.session import ship_code, spread
+from treegrain.session import runs, ship_code, spread, tidy
 
 MIN_CHARS, MAX_CHARS = 40, 1200
+#: Bytes of text that are cut at once.
+SLICE_BYTES = 1 << 20
 _BLANK, _SENTENCE = re.compile(r"\n\s*\n+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
 
@@ -51,18 +56,23 @@ def pieces(text: str | None, min_chars: int = MIN_CHARS, max_chars: int = MAX_CH
 def chunk_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text", title: str | None = None, root: str = "doc", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
     """(key, local_id, text, depth, node_path, parent_path, name, source_file, start_line, end_line): a root per document and its paragraphs.
 
-    Narrow: documents neither meet nor move. Null text has a root only.
+    Narrow: documents neither meet nor move, and a megabyte of text at a time is cut and handed on. Null text has a root only.
     """
-    name = F.coalesce(F.col(title), F.lit("Document")) if title else F.lit("Document")
     ship_code(docs.sparkSession)
 
-    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([["", *pieces(t, min_chars, max_chars)] for t in s])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in runs(whole, pc.binary_length(whole.column(1)).fill_null(0).to_numpy(), SLICE_BYTES):
+                parts = [["", *pieces(t, min_chars, max_chars)] for t in b.column(1).to_pylist()]
+                row = pa.array(np.repeat(np.arange(b.num_rows), [len(p) for p in parts]))
+                local = np.concatenate([np.arange(len(p)) for p in parts])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in carried), pa.array(local, pa.int32()), pa.array([x for p in parts for x in p], pa.string())], names=names)
 
-    rows = spread(docs.select(F.col(key), text, *([title] if title else [])))
-    rows = rows.select(F.col(key), name.alias("__title"), F.pandas_udf(each, "array<string>")(F.col(text)).alias("__parts"))
-    rows = rows.select(key, "__title", F.posexplode("__parts").alias("local_id", "__part"))
+    needed = docs.select(F.col(key), F.col(text).cast("string").alias("__text"), *([F.col(title).cast("string").alias("__title")] if title else []))
+    carried = (0, 2) if title else (0,)
+    shape = StructType([needed.schema[i] for i in carried]).add("local_id", IntegerType()).add("__part", StringType())
+    names = shape.names
+    rows = spread(needed).mapInArrow(tidy(each), shape).withColumn("__title", F.coalesce(F.col("__title"), F.lit("Document")) if title else F.lit("Document"))
     path = F.when(F.col("local_id") == 0, root).otherwise(F.concat(F.lit(f"{root}.p"), F.col("local_id").cast("string")))
     rows = rows.withColumn("node_path", path)
     body = F.concat("node_path", F.lit("\n"), "__title", F.lit(" (paragraph "), F.col("local_id").cast("string"), F.lit(")\n\n"), "__part")
