@@ -175,3 +175,12 @@ def test_a_batch_of_texts_is_cut_a_megabyte_at_a_time(spark, monkeypatch):
     texts = ["One sentence of a paragraph. " * 150] * 3000 + [None, ""]
     out = list(stage(iter([pa.RecordBatch.from_arrays([pa.array(range(3002)), pa.array(texts)], names=["doc_id", "__text"])])))
     assert max(b.nbytes for b in out) < 4 << 20 and sum(b.num_rows for b in out) == sum(1 + len(pieces(t)) for t in texts)
+
+
+def test_parsed_rows_leave_a_megabyte_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, html string")
+    stage = _stage(monkeypatch, docs, parsers.chunk_html)
+    page = "<h1>Title</h1><p>" + "words " * 15_000 + "</p>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.nulls(200, pa.string()), pa.array([page] * 200)], names=["doc_id", "__named", "html"])
+    out = list(stage(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 << 20 and sum(b.num_rows for b in out) == 400

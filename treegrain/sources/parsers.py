@@ -14,36 +14,41 @@ from treegrain.operators.chunk_markdown import markdown_rows
 from treegrain.operators.chunk_pdf import extractor, pdf_rows
 from treegrain.operators.chunk_python import python_rows
 from treegrain.operators.outline import Row
-from treegrain.session import ship_code, spread
+from treegrain.session import ship_code, spread, tidy
 
 PARSED = "doc_id long, local_id long, text string, depth int, node_path string, source_file string, start_line int, end_line int"
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
 _NAMES = [x.split()[0] for x in PARSED.split(", ")]
-#: Rows of parsed chunks that one Arrow batch holds at most.
-BATCH_ROWS = 2000
+#: Rows of parsed chunks that one Arrow batch holds at most, and characters after which it is given away.
+BATCH_ROWS, BATCH_CHARS = 2000, 1 << 20
 
 
 def run_parser(docs: DataFrame, parse: Callable[..., list[Row]], columns: list[str], *, key: str = "doc_id", source: str | None = None) -> DataFrame:
     """Apply parse(*columns) to every row; no shuffle. Columns: doc_id, local_id, text, depth, node_path, parent_path, name, source_file, start_line, end_line.
 
-    `source`, a column, replaces the parsers' own name of the source. One document's rows are written out as they come, so the size of
-    a partition doesn't matter, only that of a document.
+    `source`, a column, replaces the parsers' own name of the source. Documents are taken from their batch one by one and rows
+    are written out as they come, so only the size of a document and that of Spark's own batch matter, not that of a partition.
     """
     ship_code(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        size = 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
         for b in batches:
-            for doc, named, *args in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(doc, r.local_id, r.text, r.depth, r.node_path, named or r.source_file, r.start_line, r.end_line) for r in parse(*args)]
-                if len(out) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
-                    out = []
+            for i in range(b.num_rows):
+                doc, named, *args = (c[i].as_py() for c in b.columns)
+                for r in parse(*args):
+                    out.append((doc, r.local_id, r.text, r.depth, r.node_path, named or r.source_file, r.start_line, r.end_line))
+                    size += len(r.text) + len(r.node_path)
+                    if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield pack()
+                        out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
+            yield pack()
 
     needed = docs.select(F.col(key).cast("long"), (F.col(source) if source else F.lit(None)).cast("string").alias("__named"), *columns)
-    rows = spread(needed).mapInArrow(each, PARSED)
+    rows = spread(needed).mapInArrow(tidy(each), PARSED)
     return rows.withColumn("parent_path", parent_path(F.col("node_path"))).withColumn("name", path_name(F.col("node_path")))
 
 
