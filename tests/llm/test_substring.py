@@ -121,3 +121,9 @@ def test_cut_documents(spark):
     got = {r.doc_id: (r.text, r.n_chars, r.spans, r.did, r.kept) for r in out.collect()}
     assert got == {1: ("own words tail", 14, "a", 1, "é"), 2: ("other", 5, "b", 1, "é"), 4: ("left  as\nit is", 9, "d", 1, "é"), 5: (None, None, "e", 1, "é"), 6: ("", 0, "f", 1, "é")}
     assert cut_documents(df.limit(0)).count() == 0
+
+
+def test_keys_whose_contents_share_no_window(spark):
+    # In some of these rows the six words in the middle, which other rows have, are the key of the only window, which is nowhere else.
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(15)] + [f"m{i % 100}x{j}" for j in range(6)] + [f"b{i}x{j}" for j in range(14)])) for i in range(1000)]
+    check(spark.createDataFrame(rows, DOCS), rows)

@@ -116,6 +116,8 @@ def _search(window: int, shard_words: int):
         first = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
         found = index.matching_statistics(index.starts[of] + first + window - 1, window) >= window
         of, first = of[found], first[found]
+        if not len(of):
+            return []  # contents that share their key's n-gram and no window
         # Windows that follow each other or overlap are one interval.
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (first[1:] > first[:-1] + window)
