@@ -225,6 +225,23 @@ def test_vectors_of_another_length_and_none(spark):
         dense.nearest_batch(df.unionByName(spark.createDataFrame([(4, [1.0], 4)], "id long, embedding array<float>, pos long")), queries, 1).collect()
 
 
+def test_candidates_dont_grow_with_the_partitions_of_the_corpus(spark):
+    df = spark.range(0, 4000, numPartitions=100).selectExpr("id", "id AS pos", "array(cast(id % 17 AS float), cast(id % 5 + 1 AS float)) AS embedding")
+    queries = df.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found = dense.nearest_batch(df, queries, 3)
+    work, most = [found._jdf.queryExecution().executedPlan()], 0
+    assert found.count() == 120
+    # Forty queries have three rows in each task.
+    found.collect()
+    work = [work[0].executedPlan() if "AdaptiveSparkPlan" in work[0].nodeName() else work[0]]
+    while work:
+        node = work.pop()
+        work += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        if "Arrow" in node.nodeName():
+            most = node.metrics().get("numOutputRows").get().value() if node.metrics().get("numOutputRows").isDefined() else node.metrics().get("pythonNumRowsReceived").get().value()
+    assert 120 <= most <= 120 * 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_popular_parent_gives_its_first_children(spark):
     corpus = with_paths(spark.range(20_000).selectExpr("id", "id AS pos", "concat('r.c', id) AS node_path"))
     seeds = corpus.where("id = 15000").select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("seed_rank"), "*")
