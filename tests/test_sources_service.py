@@ -184,3 +184,11 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         live.summarize(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks")), lambda p: ["s"] * len(p), str(tmp_path / "cache"), str(tmp_path / "ck2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_response_texts_are_cut_before_they_meet_the_results(spark):
+    corpus = spark.createDataFrame([(1, "d1", 0, "abc" * 1000, "s")], "id long, node_path string, depth int, text string, source_file string")
+    rows = service.search_rows(spark.createDataFrame([(7, 1, 0)], "query_id long, id long, out_pos long"), corpus, characters=4)
+    assert [tuple(r) for r in rows.collect()] == [(7, 0, "d1", 0, "abca", "s")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring(")

@@ -73,7 +73,8 @@ def summary(chunks: DataFrame, index_id: str) -> DataFrame:
 
 def search_rows(results: DataFrame, corpus: DataFrame, *, characters: int = 1000) -> DataFrame:
     """Response rows (query_id, score_rank, node_path, depth, text, source_file): result rows in order, texts cut to what a response shows."""
-    return results.select("query_id", "id", F.col("out_pos").alias("score_rank")).join(corpus.select("id", "node_path", "depth", "text", "source_file"), "id").select("query_id", "score_rank", "node_path", "depth", F.substring("text", 1, characters).alias("text"), "source_file")
+    shown = corpus.select("id", "node_path", "depth", F.substring("text", 1, characters).alias("text"), "source_file")
+    return results.select("query_id", "id", F.col("out_pos").alias("score_rank")).join(shown, "id").select("query_id", "score_rank", "node_path", "depth", "text", "source_file")
 
 
 def check_request(query: str, k: int) -> None:
